@@ -25,8 +25,11 @@ PIECE = 16_384
 
 
 def ascii_upper(col: Column | str) -> Column:
-    """Upper-case ASCII letters only, so that no text changes its length."""
-    return F.translate(col, LOWER, UPPER)
+    """Upper-case ASCII letters only, so that no text changes its length.
+
+    For a pure ASCII text that is what ``upper`` does, several times faster than ``translate``.
+    """
+    return F.when(F.octet_length(col) == F.length(col), F.upper(col)).otherwise(F.translate(col, LOWER, UPPER))
 
 
 def reverse_complement(col: Column | str) -> Column:
@@ -87,7 +90,7 @@ def explode_pieces(
     """``(name, seq)`` to ``(name, piece)``.
 
     ``spread`` redistributes the pieces over that many tasks; use it when the input cannot be
-    split, such as a few huge compressed files.
+    split, such as a few huge compressed files. Without it the text is worked on where it is read.
     """
     text = ascii_upper("seq") if uppercase else F.col("seq")
     out = sequences.select("name", text.alias("seq")).select(
@@ -118,4 +121,4 @@ DNA_TO = (DNA * 7)[: len(DNA_FROM)]
 
 def dna_projection(col: Column | str) -> Column:
     """Map a text onto the four bases letter by letter; digits and punctuation are kept as they are."""
-    return F.translate(ascii_upper(col), DNA_FROM, DNA_TO)
+    return F.translate(col, DNA_FROM + LOWER, DNA_TO + DNA_TO)

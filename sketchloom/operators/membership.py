@@ -29,11 +29,11 @@ def restrict_to_training(sample: DataFrame, training: DataFrame) -> DataFrame:
 def distinct_hits(occurrences: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
     """The distinct keys of ``wanted`` that occur in ``occurrences``, with all columns of ``wanted``.
 
-    ``wanted`` must be unique on the key. Up to the broadcast bound it filters the occurrences where
+    ``wanted`` (a written table, so that its rows are counted from the file footers) must be unique on the key. Up to the broadcast bound it filters the occurrences where
     they are scanned. Beyond it, the occurrences are first made distinct (with map-side combining, so
     a frequent key sends one row per task), and the join reuses that partitioning.
     """
-    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if wanted.count() <= BROADCAST_ROWS:
         return occurrences.select(*on).join(F.broadcast(wanted), on).distinct()
     return occurrences.select(*on).distinct().join(wanted, on)
 
@@ -47,7 +47,7 @@ def sketch_hits(
     shingles are dropped in the scan. This needs the sketched orientation, hence not strand-neutral.
     """
     key = canonical(F.col("kmer")) if strand_neutral else F.col("kmer")
-    wanted = entries.select(key.alias("kmer")).distinct()
+    wanted = materialize(entries.select(key.alias("kmer")).distinct(), "wanted")
     if not strand_neutral and not spec.both_strands:
         top = entries.agg(F.max("h")).first()[0]
         if top is not None:

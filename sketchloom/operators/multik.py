@@ -17,6 +17,10 @@ from sketchloom.operators.membership import distinct_hits
 from sketchloom.session import BROADCAST_ROWS, materialize
 
 
+# Up to this many lookup rows it pays to look for a small set of starts.
+GATED_ROWS = 4 * BROADCAST_ROWS
+
+
 def _prefixes(ks: list[int], text: Column, most: Column | None = None) -> Column:
     """Array of ``struct(k, prefix)``, for the lengths up to ``most``."""
     pairs = F.transform(F.array(*[F.lit(k) for k in ks]), lambda k: F.struct(k.alias("k"), F.substring(text, F.lit(1), k).alias("prefix")))
@@ -50,19 +54,27 @@ def prefilter(index: DataFrame) -> DataFrame:
     return keys.union(keys.select("k", reverse_complement("prefix"))).distinct()
 
 
-def lookup_table(index: DataFrame, first_k: int) -> DataFrame:
+def lookup_table(index: DataFrame, first_k: int, ksize: int | None = None) -> DataFrame:
     """``(k, query, target)``: the key that a sample shingle ``query`` leads to; unique on (k, query).
 
     A shingle longer than ``first_k`` must also start with a shingle of the prefilter at ``first_k``.
+    At ``ksize``, the length the database was sketched at, both strands of every shingle are keys
+    and flipping adds nothing; naming it saves that work.
     """
-    keys = index.select("k", "key").distinct()
+    keys = materialize(index.select("k", "key").distinct(), "keys")
     forward = keys.select("k", F.col("key").alias("query"), F.col("key").alias("target"))
-    flipped = keys.select("k", reverse_complement("key").alias("query"), F.col("key").alias("target"))
-    table = forward.union(flipped.join(forward, ["k", "query"], "left_anti"))
-    gate = prefilter(index.where(F.col("k") == first_k)).select(F.col("prefix").alias("gate"))
-    return (
-        table.withColumn("gate", F.substring("query", 1, first_k)).join(gate, "gate", "left_semi").drop("gate")
+    # A key starts with a key of the shortest length, so only flipped queries can miss the gate,
+    # and most do: the gate comes before the comparison with the forward queries.
+    gate = prefilter(keys.where(F.col("k") == first_k)).select(F.col("prefix").alias("gate"))
+    flipped = (
+        (keys.where(F.col("k") != ksize) if ksize else keys)
+        .select("k", reverse_complement("key").alias("query"), F.col("key").alias("target"))
+        .withColumn("gate", F.substring("query", 1, first_k))
+        .join(gate, "gate", "left_semi")
+        .drop("gate")
+        .join(forward.select("k", "query"), ["k", "query"], "left_anti")
     )
+    return forward.union(flipped)
 
 
 def sample_prefixes(
@@ -76,9 +88,11 @@ def sample_prefixes(
     first_k, last_k = min(ks), max(ks)
     cut = explode_pieces(sequences, last_k - 1, piece, uppercase)
     spans = cut.select(F.explode(windows("piece", first_k, last_k)).alias("span"))
-    gate = lookup.select(F.substring("query", 1, first_k).alias("gate")).distinct()
-    if gate.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        spans = spans.withColumn("gate", F.substring("span", 1, first_k)).join(F.broadcast(gate), "gate", "left_semi")
+    if lookup.count() <= GATED_ROWS:
+        gate = lookup.select(F.substring("query", 1, first_k).alias("gate")).distinct()
+        if gate.count() <= BROADCAST_ROWS:
+            spans = spans.withColumn("gate", F.substring("span", 1, first_k))
+            spans = spans.join(F.broadcast(gate), "gate", "left_semi")
     return spans.select(F.explode(_prefixes(ks, F.col("span"), F.length("span"))).alias("p")).select(
         "p.k", F.col("p.prefix").alias("query")
     )
@@ -98,8 +112,14 @@ def hits(found: DataFrame) -> DataFrame:
 
 def denominators(entries: DataFrame, ks: list[int]) -> DataFrame:
     """Distinct prefixes per sketch and length: ``(name, k, denom)``."""
-    cut = entries.select("name", F.explode(_prefixes(ks, F.col("kmer"))).alias("p")).select("name", "p.k", "p.prefix")
-    return cut.distinct().groupBy("name", "k").agg(F.count("*").alias("denom"))
+    # A sketch has at most n shingles, so one row holds them.
+    whole = entries.groupBy("name").agg(F.collect_list("kmer").alias("kmers"))
+
+    def distinct(k: int) -> Column:
+        prefixes = F.transform("kmers", lambda x: F.substring(x, 1, k))
+        return F.struct(F.lit(k).alias("k"), F.size(F.array_distinct(prefixes)).cast("bigint").alias("denom"))
+
+    return whole.select("name", F.inline(F.array(*[distinct(k) for k in ks])))
 
 
 def containment(found: DataFrame, entries: DataFrame, ks: list[int]) -> DataFrame:
@@ -125,7 +145,7 @@ def select_results(frame: DataFrame, ks: list[int], threshold: float, location:
     return frame.where(at >= threshold).orderBy(F.col(f"`k={ks[-1]}`").desc(), "name")
 
 
-def prepare(entries: DataFrame, ks: list[int]) -> tuple[DataFrame, DataFrame]:
+def prepare(entries: DataFrame, ks: list[int], ksize: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Materialised prefix index and lookup table of a database, ready for many queries."""
     index = materialize(prefix_index(entries, ks), "prefix-index")
-    return index, materialize(lookup_table(index, min(ks)), "lookup")
+    return index, materialize(lookup_table(index, min(ks), ksize), "lookup")

@@ -21,7 +21,7 @@ from sketchloom.functions.seq import (
     reverse_complement,
     shingles,
 )
-from sketchloom.session import small_or_shuffled
+from sketchloom.session import BROADCAST_ROWS
 
 # Fixed value: the default modulus of the hash.
 DEFAULT_PRIME = 9_999_999_999_971
@@ -76,37 +76,50 @@ def bottom_n(
     if isinstance(hash_list, DataFrame):
         occurrences = hashed.select("name", F.explode("grams").alias("g")).select("name", "g.h", "g.kmer")
         wanted = hash_list.select("h").distinct()
-        if not wanted.isEmpty():
-            occurrences = occurrences.join(small_or_shuffled(wanted), "h", "left_semi")
-    else:
-        bound = hashed.select(
-            "name",
-            "grams",
-            F.try_element_at(F.sort_array(F.array_distinct("grams.h")), F.lit(spec.n)).alias("bound"),
-        )
-        occurrences = bound.select(
-            "name",
-            F.explode(
-                F.filter("grams", lambda g: F.col("bound").isNull() | (g["h"] <= F.col("bound")))
-            ).alias("g"),
-        ).select("name", "g.h", "g.kmer")
-    counted = occurrences.groupBy("name", "h").agg(F.count("*").alias("cnt"), F.min("kmer").alias("kmer"))
-    return keep_smallest(counted, spec.n)
+        counted = _count(occurrences)
+        if wanted.isEmpty():
+            return keep_smallest(counted, spec.n)
+        if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            counted = _count(occurrences.join(F.broadcast(wanted), "h", "left_semi"))
+        else:  # count first, so that a frequent hash meets the list once per set
+            counted = counted.join(wanted, "h", "left_semi")
+        return keep_smallest(counted, spec.n)
+    bound = hashed.select(
+        "name",
+        "grams",
+        F.try_element_at(F.sort_array(F.array_distinct("grams.h")), F.lit(spec.n)).alias("bound"),
+    )
+    occurrences = bound.select(
+        "name",
+        F.explode(F.filter("grams", lambda g: F.col("bound").isNull() | (g["h"] <= F.col("bound")))).alias("g"),
+    ).select("name", "g.h", "g.kmer")
+    return keep_smallest(_count(occurrences), spec.n)
+
+
+def _count(occurrences: DataFrame) -> DataFrame:
+    # The shingle is a key and not a min(): only fixed-width buffers keep this a hash aggregation.
+    return occurrences.groupBy("name", "h", "kmer").agg(F.count("*").alias("cnt"))
 
 
 def keep_smallest(counted: DataFrame, n: int) -> DataFrame:
-    """Rank ``(name, h, ...)`` by hash within each set and keep the first n as slots 0..n-1."""
+    """Rank the hashes of ``(name, h, kmer, cnt)`` within each set and keep the first n as slots 0..n-1.
+
+    Shingles that share a hash share its rank and merge here, after the cut; the rank's own sort
+    order serves that aggregation.
+    """
     order = Window.partitionBy("name").orderBy("h")
     return (
-        counted.withColumn("rank", F.row_number().over(order))
+        counted.withColumn("rank", F.dense_rank().over(order))
         .where(F.col("rank") <= n)
+        .groupBy("name", "h")
+        .agg(F.min("rank").alias("rank"), F.sum("cnt").alias("cnt"), F.min("kmer").alias("kmer"))
         .select("name", (F.col("rank") - 1).alias("slot"), "h", "cnt", "kmer")
     )
 
 
 def merge_sketches(entries: DataFrame, n: int) -> DataFrame:
     """Sketch of the union of disjoint parts: add counts per hash and keep the n smallest again."""
-    summed = entries.groupBy("name", "h").agg(F.sum("cnt").alias("cnt"), F.min("kmer").alias("kmer"))
+    summed = entries.groupBy("name", "h", "kmer").agg(F.sum("cnt").alias("cnt"))
     return keep_smallest(summed, n)
 
 

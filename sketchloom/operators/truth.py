@@ -56,12 +56,13 @@ def exact_median(values: DataFrame, group: str, value: str) -> DataFrame:
         F.percentile_approx(value, [i / 200 for i in range(1, 200)], 2000).alias("grid"),
         F.count("*").alias("total"),
     )
-    placed = counted.join(grid, group).withColumn("bucket", F.size(F.filter("grid", lambda g: g < F.col(value))))
+    # One row per group, and at most 200 buckets each: groups are shingle lengths, a handful.
+    placed = counted.join(F.broadcast(grid), group).withColumn("bucket", F.size(F.filter("grid", lambda g: g < F.col(value))))
     sums = placed.groupBy(group, "bucket").agg(F.sum("c").alias("in_bucket"))
     upto = F.sum("in_bucket").over(Window.partitionBy(group).orderBy("bucket"))
     offsets = sums.select(group, "bucket", (upto - F.col("in_bucket")).alias("skip"), upto.alias("upto"))
     low, high = F.expr("(total + 1) div 2"), F.expr("total div 2 + 1")
-    middle = placed.join(offsets, [group, "bucket"]).where((F.col("skip") < high) & (F.col("upto") >= low))
+    middle = placed.join(F.broadcast(offsets), [group, "bucket"]).where((F.col("skip") < high) & (F.col("upto") >= low))
     reached = F.col("skip") + F.sum("c").over(Window.partitionBy(group, "bucket").orderBy(value))
     ranked = middle.withColumn("reached", reached).withColumn("passed", F.col("reached") - F.col("c"))
 

@@ -364,7 +364,7 @@ def threshold_calc(spark, folder):
 
 def _multi(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame]:
     entries = materialize(sketch.bottom_n(t.documents(spark, folder, dna=True), t.DNA_SPEC), "sketches")
-    index, table = multik.prepare(entries, t.KS)
+    index, table = multik.prepare(entries, t.KS, t.K)
     found = multik.matches(t.benchmark(spark, folder, dna=True), index, table, t.KS)
     return entries, index, materialize(found, "matches")
 
@@ -388,7 +388,9 @@ def prefix_index(spark, folder):
 @register
 def prefilter(spark, folder):
     keys = multik.prefilter(multik.prefix_index(_dna_entries(spark, folder), t.KS))
-    return keys.select(big("k"), "prefix")
+    return keys.groupBy(big("k"), F.substring("prefix", 1, 4).alias("start")).agg(
+        F.count("*").alias("keys"), F.min("prefix").alias("first_key"), F.max("prefix").alias("last_key")
+    )
 
 
 @register
@@ -457,7 +459,7 @@ def postprocess_containment(spark, folder):
 def stream_containment(spark, folder):
     """The same containment, the sample arriving as a stream."""
     entries = materialize(_dna_entries(spark, folder), "sketches")
-    index, table = multik.prepare(entries, t.KS)
+    index, table = multik.prepare(entries, t.KS, t.K)
     schema = t.table(spark, folder, "benchmark").schema
     arriving = spark.readStream.schema(schema).option("pathGlobFilter", "benchmark.parquet").parquet(folder)
     sequences = arriving.select(F.lit("benchmark").alias("name"), dna_projection("text").alias("seq"))

@@ -358,7 +358,8 @@ def oracle() -> dict[str, str]:
             where containment_index > {expected_threshold(N, 0.2, 0.0001, 0.95)!r}""",
         "prefix_index": f"""with {multi()} select cast(k as bigint) as k, name, count(*) as entries, count(distinct key) as keys,
             min(key) as first_key, max(key) as last_key, count(*) filter (flipped) as flipped from ix group by all""",
-        "prefilter": f"with {multi()} select cast(k as bigint) as k, prefix from pf",
+        "prefilter": f"with {multi()} select cast(k as bigint) as k, substring(prefix, 1, 4) as start, count(*) as keys, "
+        "min(prefix) as first_key, max(prefix) as last_key from pf group by all",
         "multi_k_matches": f"with {multi()} select name, cast(k as bigint) as k, slot, prefix from mt",
         "multi_k_hits": f"with {multi()} select name, cast(k as bigint) as k, prefix from ht",
         "multi_k_containment": f"with {multi()} {CT.format('ct')}",

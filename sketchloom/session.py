@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# An input with fewer bytes than this per available task is dealt out anew.
+SMALL_PER_TASK = 16 << 20
+
 # A build side above this many rows is never broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -21,6 +24,8 @@ def get_spark(app: str = "sketchloom", master: str | None = None, **confs: str)
     defaults = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Hash the smaller side of a shuffled join wherever all its partitions turn out to be small.
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
@@ -55,6 +60,17 @@ def materialize(df: DataFrame, tag: str = "table") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """Deal an input that is too small to fill the cluster over all its tasks.
+
+    A file of one row group is read by one task, which would then do all the shingling. The
+    estimate comes from the file sizes; an input that fills the cluster is left where it is.
+    """
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(tasks) if size < tasks * SMALL_PER_TASK else df
+
+
 def small_or_shuffled(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast when it holds at most ``max_rows`` rows, else leave it alone.
 
