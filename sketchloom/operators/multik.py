@@ -105,6 +105,32 @@ def matches(sequences: DataFrame, index: DataFrame, lookup: DataFrame, ks: list[
     return index.join(targets, ["k", "key"], "left_semi").select("name", "k", "slot", "prefix").distinct()
 
 
+def matches_once(
+    sequences: DataFrame, entries: DataFrame, ks: list[int], ksize: int | None = None, uppercase: bool = True
+) -> DataFrame:
+    """The same matches without a stored index, for one sample of moderate size.
+
+    The sample's distinct shingles and their reverse complements filter the index entries while
+    these are being made, so that lookup table and gate are those of the few entries concerned: a
+    shingle's start at the shortest length is itself a shingle of the sample, hence the gate sees all
+    the keys it would see in the whole index. A sample beyond the broadcast bound gets the index.
+    """
+    cut = explode_pieces(sequences, max(ks) - 1, PIECE, uppercase)
+    spans = cut.select(F.explode(windows("piece", min(ks), max(ks))).alias("span"))
+    asked = spans.select(F.explode(_prefixes(ks, F.col("span"), F.length("span"))).alias("p"))
+    asked = materialize(asked.select("p.k", F.col("p.prefix").alias("query")).distinct(), "asked")
+    if asked.count() > BROADCAST_ROWS // 2:
+        index, lookup = prepare(entries, ks, ksize)
+    else:
+        strands = F.explode(F.array(F.col("query"), reverse_complement("query"))).alias("key")
+        near = asked.select("k", strands).distinct()
+        index = prefix_index(entries, ks).join(F.broadcast(near), ["k", "key"], "left_semi")
+        index = materialize(index, "near-index")
+        lookup = lookup_table(index, min(ks), ksize)
+    targets = asked.join(lookup, ["k", "query"]).select("k", F.col("target").alias("key")).distinct()
+    return index.join(targets, ["k", "key"], "left_semi").select("name", "k", "slot", "prefix").distinct()
+
+
 def hits(found: DataFrame) -> DataFrame:
     """Distinct matched prefixes ``(name, k, prefix)``: the non-zero cells of the hit matrices."""
     return found.select("name", "k", "prefix").distinct()

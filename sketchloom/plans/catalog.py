@@ -362,11 +362,10 @@ def threshold_calc(spark, folder):
 # -- several shingle lengths -------------------------------------------------------------------
 
 
-def _multi(spark, folder) -> tuple[DataFrame, DataFrame, DataFrame]:
-    entries = materialize(sketch.bottom_n(t.documents(spark, folder, dna=True), t.DNA_SPEC), "sketches")
-    index, table = multik.prepare(entries, t.KS, t.K)
-    found = multik.matches(t.benchmark(spark, folder, dna=True), index, table, t.KS)
-    return entries, index, materialize(found, "matches")
+def _multi(spark, folder) -> tuple[DataFrame, DataFrame]:
+    entries = materialize(_dna_entries(spark, folder), "sketches")
+    found = multik.matches_once(t.benchmark(spark, folder, dna=True), entries, t.KS, t.K)
+    return entries, materialize(found, "matches")
 
 
 def _dna_entries(spark, folder) -> DataFrame:
@@ -395,16 +394,24 @@ def prefilter(spark, folder):
 
 @register
 def multi_k_matches(spark, folder):
-    return _multi(spark, folder)[2].select("name", big("k"), big("slot"), "prefix")
+    return _multi(spark, folder)[1].select("name", big("k"), big("slot"), "prefix")
+
+
+@register
+def multi_k_indexed(spark, folder):
+    """The same matches through the stored index and lookup table."""
+    index, table = multik.prepare(_dna_entries(spark, folder), t.KS, t.K)
+    found = multik.matches(t.benchmark(spark, folder, dna=True), index, table, t.KS)
+    return found.select("name", big("k"), big("slot"), "prefix")
 
 
 @register
 def multi_k_hits(spark, folder):
-    return multik.hits(_multi(spark, folder)[2]).select("name", big("k"), "prefix")
+    return multik.hits(_multi(spark, folder)[1]).select("name", big("k"), "prefix")
 
 
 def _containment(spark, folder) -> DataFrame:
-    entries, _, found = _multi(spark, folder)
+    entries, found = _multi(spark, folder)
     return multik.containment(found, entries, t.KS)
 
 
@@ -429,7 +436,7 @@ def containment_threshold_at_k(spark, folder):
 
 
 def _specific(spark, folder):
-    entries, _, found = _multi(spark, folder)
+    entries, found = _multi(spark, folder)
     chosen = multik.select_results(multik.wide(multik.containment(found, entries, t.KS), t.KS), t.KS, LEAST)
     chosen = materialize(chosen.select("name"), "chosen")
     return materialize(postprocess.selected_entries(entries, chosen), "selected"), found

@@ -102,14 +102,16 @@ def query_many(
 ) -> None:
     """Containment at several lengths; unless ``sensitive``, repeated with shingles of one set only.
 
-    A written index is used when it covers the lengths; otherwise one is made for this query.
+    A written index is used when it covers the lengths; otherwise the entries are filtered by the query.
     """
     db = import_database(spark, database)
     spec = _spec_of(db)
     ks = cap_k_range(ks, spec.ksize)
     at = clamp_location(location, ks)
-    index, lookup = load_index(spark, database, ks) or multik.prepare(db.entries, ks, spec.ksize)
-    found = materialize(multik.matches(read_sequences(spark, query), index, lookup, ks), "matches")
+    stored = load_index(spark, database, ks)
+    sequences = read_sequences(spark, query)
+    found = multik.matches(sequences, *stored, ks) if stored else multik.matches_once(sequences, db.entries, ks, spec.ksize)
+    found = materialize(found, "matches")
     chosen = multik.select_results(multik.wide(multik.containment(found, db.entries, ks), ks), ks, coverage, at)
     if not sensitive:
         names = materialize(chosen.select("name"), "chosen")

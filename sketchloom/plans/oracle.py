@@ -361,6 +361,7 @@ def oracle() -> dict[str, str]:
         "prefilter": f"with {multi()} select cast(k as bigint) as k, substring(prefix, 1, 4) as start, count(*) as keys, "
         "min(prefix) as first_key, max(prefix) as last_key from pf group by all",
         "multi_k_matches": f"with {multi()} select name, cast(k as bigint) as k, slot, prefix from mt",
+        "multi_k_indexed": f"with {multi()} select name, cast(k as bigint) as k, slot, prefix from mt",
         "multi_k_hits": f"with {multi()} select name, cast(k as bigint) as k, prefix from ht",
         "multi_k_containment": f"with {multi()} {CT.format('ct')}",
         "stream_containment": f"with {multi()} {CT.format('ct')}",
