@@ -9,8 +9,8 @@ from __future__ import annotations
 import json
 import os
 import sys
-import tempfile
 import time
+import uuid
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from sketchloom.operators import blocks, cluster, maintenance, membership, multik, sketch, truth
 from sketchloom.operators.sketch import SketchSpec
 from sketchloom.plans import tables as t
-from sketchloom.session import get_spark, materialize
+from sketchloom.session import get_spark, materialize, scratch_dir
 from sketchloom.sources.sketchdb import export_database, import_database
 
 
@@ -34,7 +34,7 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     times: dict[str, float] = {}
     kept: dict[str, object] = {}
-    place = tempfile.mkdtemp(prefix="bench-")
+    place = os.path.join(scratch_dir(spark), f"bench-{uuid.uuid4().hex}")
     spec = SketchSpec(n=500, ksize=21)
 
     def run(name, job):

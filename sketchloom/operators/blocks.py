@@ -80,20 +80,24 @@ def capped_common(first: np.ndarray, second: np.ndarray, limit: int) -> np.ndarr
     return np.searchsorted(first, union[(tag == 3) & (begun <= limit)])
 
 
-def _candidate_cells(group: pd.DataFrame, least: int) -> Iterator[tuple]:
-    """Pairs of one block pair that share at least ``least`` hashes, the smaller name first."""
-    group = group.sort_values("name", ignore_index=True)
-    hs = [np.asarray(h, dtype=np.int64) for h in group["hs"]]
-    left = np.flatnonzero(group["own"] == group["left_block"])
-    right = np.flatnonzero(group["own"] == group["right_block"])
+def _candidate_cells(group: pd.DataFrame, hs: list[np.ndarray], eps: float = 0.0) -> Iterator[tuple]:
+    """Pairs of one block pair that share a hash, and at least ``eps`` of the smaller sketch; most shared first.
+
+    The capped walk never counts more hashes than are shared, so the bound loses no similar pair.
+    """
+    own, left_block, right_block = (group[c].to_numpy() for c in ("own", "left_block", "right_block"))
+    left, right = np.flatnonzero(own == left_block), np.flatnonzero(own == right_block)
     if not len(left) or not len(right):
         return
     counts = shared_counts([hs[i] for i in left], [hs[j] for j in right])
-    for a, b in zip(*np.nonzero(counts >= least)):
-        i, j = left[a], right[b]
-        if group["left_block"].iat[0] == group["right_block"].iat[0] and i > j:
-            continue
-        yield (min(i, j), max(i, j))
+    sizes = np.array([len(h) for h in hs], dtype=np.float64)
+    needed = np.maximum(eps * np.minimum.outer(sizes[left], sizes[right]) - 1e-6, 1)
+    rows, columns = np.nonzero(counts >= needed)
+    order = np.argsort(-counts[rows, columns], kind="stable")
+    same = left_block[0] == right_block[0]
+    for i, j in zip(left[rows[order]].tolist(), right[columns[order]].tolist()):
+        if not (same and i > j):
+            yield (min(i, j), max(i, j))
 
 
 def pair_table(entries: DataFrame, sets: int, limit: int, block: int = BLOCK) -> DataFrame:
@@ -109,7 +113,7 @@ def pair_table(entries: DataFrame, sets: int, limit: int, block: int = BLOCK) ->
         names = group["name"].to_numpy()
         hs = [np.asarray(h, dtype=np.int64) for h in group["hs"]]
         cs = [np.asarray(c, dtype=np.int64) for c in group["cs"]]
-        for i, j in _candidate_cells(group, 1):
+        for i, j in _candidate_cells(group, hs):
             row = [names[i], names[j], len(hs[i]), len(hs[j]), int(cs[i].sum()), int(cs[j].sum())]
             for a, b, flip in ((i, j, False), (j, i, True)):
                 at = capped_common(hs[a], hs[b], limit)
@@ -147,8 +151,7 @@ def link_table(entries: DataFrame, sets: int, limit: int, eps: float, block: int
             return x
 
         out = []
-        smallest = max(1, math.ceil(eps * min(map(len, hs)) - 1e-9))
-        for i, j in _candidate_cells(group, smallest):
+        for i, j in _candidate_cells(group, hs, eps):
             a, b = find(i), find(j)
             if a == b:
                 continue

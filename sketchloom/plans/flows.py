@@ -45,7 +45,7 @@ def index_database(spark: SparkSession, database: str, ks: list[int]) -> None:
     ks = cap_k_range(ks, spec.ksize)
     index, lookup = multik.prepare(db.entries, ks, spec.ksize)
     sink.write_index(index, f"{database}.index/keys")
-    lookup.repartition("k", "query").write.partitionBy("k").parquet(f"{database}.index/lookup")
+    lookup.repartitionByRange("k", "query").write.partitionBy("k").parquet(f"{database}.index/lookup")
 
 
 def sample(spark: SparkSession, query: str, out: str, ksize: int, restrict: str | None = None) -> None:
