@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,14 +36,16 @@ def get_spark(app: str = "sketchloom", master: str | None = None, **confs: str)
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for materialised intermediates.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a session that names none (tests, a
-    laptop) gets a temporary folder of its own.
+    The cluster names it in ``spark.checkpoint.dir``; a session that names none uses its warehouse
+    folder, which all executors share as well. A folder of one machine is refused on a cluster.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="sketchloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    folder = spark.conf.get("spark.sql.warehouse.dir")
+    if folder.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("Set spark.checkpoint.dir to a folder that driver and executors share; the warehouse is a local folder")
+    return os.path.join(folder, "scratch")
 
 
 def materialize(df: DataFrame, tag: str = "table") -> DataFrame:

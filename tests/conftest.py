@@ -10,8 +10,10 @@ from sketchloom.session import get_spark
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = get_spark("tests", "local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false"})
+def spark(tmp_path_factory):
+    shared = str(tmp_path_factory.mktemp("shared"))
+    settings = {"spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.checkpoint.dir": shared}
+    session = get_spark("tests", "local[4]", **settings)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
