@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sketchloom.llm import mixing, sharding
+from sketchloom.llm import mixing, neardup, quality, sharding
 from sketchloom.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,17 @@ def op6_sharding(spark, folder):
     return sharding.assign(rows, shards=16).select(
         "row.doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
+
+
+@register
+def op7_near_dedup(spark, folder):
+    found = neardup.components(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+@register
+def op9_quality_rules(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    stats = materialize(quality.with_statistics(docs, keep=["doc_id", "lang", "source"]), "quality-stats")
+    judged = quality.judge(stats, quality.fit(stats))
+    return judged.select("doc_id", *[f"quality.{c}" for c in quality.COUNTS[:5]], "base_failed", "kept", "distance")
