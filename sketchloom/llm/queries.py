@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sketchloom.llm import mixing, neardup, quality, sharding
+from sketchloom.llm import decontam, mixing, neardup, quality, sharding, suffix_dedup, token_files, warc
 from sketchloom.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,38 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@register
+def op1_suffix_dedup(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return suffix_dedup.deduplicated(docs, texts=False).drop("spans", "kept")
+
+
+@register
+def op2_token_files(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return token_files.read(spark, token_files.write(docs, tokenizer_path(), end_id=1))
+
+
+@register
+def op3_warc(spark, folder):
+    archives = warc.write(warc.with_revisits(table(spark, folder, "pages").select("page_id", "url", "html")))
+    return warc.read(archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL["op3_warc"] = """
+WITH p AS (SELECT page_id, sha1(coalesce(html, '')) AS payload_digest, strlen(coalesce(html, ''))::BIGINT AS payload_bytes FROM pages),
+f AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS response FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> response THEN response END AS refers_to FROM f
+"""
+
+
 @register
 def op4_mixing(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")
@@ -70,6 +102,14 @@ def op7_near_dedup(spark, folder):
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+@register
+def op8_decontamination(spark, folder):
+    found = decontam.with_hits(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"), keep=["doc_id"])
+    return found.select(
+        "doc_id", "hits.n_words", "hits.n_hit", F.size("hits.items").cast("bigint").alias("n_items"), decontam.digest(F.col("hits.items")).alias("items_sha256"), (F.col("hits.n_hit") > 0).alias("contaminated")
+    )
+
+
 @register
 def op9_quality_rules(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
