@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sketchloom.llm import decontam, mixing, neardup, quality, sharding, suffix_dedup, token_files, warc
+from sketchloom.llm import decontam, knlm, langid, mixing, neardup, quality, sharding, suffix_dedup, token_files, warc
 from sketchloom.session import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +87,14 @@ SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN before + si
 """
 
 
+@register
+def op5_language_id(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    found = langid.predict(docs, langid.fit(langid.learned(docs)), keep=["doc_id"])
+    held_out = (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out")
+    return found.select("doc_id", held_out, "language.lang_pred", "language.score")
+
+
 @register
 def op6_sharding(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -116,3 +124,9 @@ def op9_quality_rules(spark, folder):
     stats = materialize(quality.with_statistics(docs, keep=["doc_id", "lang", "source"]), "quality-stats")
     judged = quality.judge(stats, quality.fit(stats))
     return judged.select("doc_id", *[f"quality.{c}" for c in quality.COUNTS[:5]], "base_failed", "kept", "distance")
+
+
+@register
+def op10_lm_scoring(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text", knlm.held_out().alias("held_out"))
+    return knlm.scored(docs, knlm.fit(docs.filter(~F.col("held_out"))), keep=["doc_id", "held_out"])

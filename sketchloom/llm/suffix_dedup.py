@@ -150,15 +150,6 @@ def packed_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 SCHEMA = pa.schema([("grp", pa.int32()), ("block", pa.int32()), ("data", pa.binary()), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64()))])
 
 
-def planes(values: np.ndarray) -> bytes:
-    """Sorted longs as byte planes, high bytes first: the shuffle's compression removes the sorted part."""
-    return values.byteswap().view(np.uint8).reshape(-1, 8).T.tobytes()
-
-
-def from_planes(data) -> np.ndarray:
-    return np.frombuffer(np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T).tobytes(), dtype=">u8").astype(np.uint64)
-
-
 def answers_of(uri: str, group: int) -> dict[int, np.ndarray]:
     """The bits for each block of a group, in the order of the block's distinct names."""
     system, path = files.resolve(f"{uri}/grp={group}")
@@ -198,7 +189,7 @@ def asked(blocks: DataFrame, uris: list[str], buckets: int) -> DataFrame:
                 "grp": [group] * len(some),
                 "block": [block] * len(some),
                 "bucket": some.tolist(),
-                "names": [planes(names[cuts[k] : cuts[k + 1]]) for k in some],
+                "names": [textops.planes(names[cuts[k] : cuts[k + 1]]) for k in some],
                 "flags": [np.packbits(flags[cuts[k] : cuts[k + 1]]).tobytes() if flags.any() else b"" for k in some],
             }
             yield pa.RecordBatch.from_pydict(columns, schema)
@@ -211,7 +202,7 @@ ANSWER = pa.schema([("grp", pa.int32()), ("block", pa.int32()), ("bucket", pa.in
 
 def answered(bucket: pa.Table) -> pa.Table:
     """Sort a bucket's names and compare neighbours: does a name recur, which entry is first, is any flagged?"""
-    names = [from_planes(n.as_buffer()) for n in bucket["names"]]
+    names = [textops.from_planes(n.as_buffer()) for n in bucket["names"]]
     sizes = np.array([len(n) for n in names])
     flags = [np.unpackbits(np.frombuffer(f.as_buffer(), dtype=np.uint8), count=k).astype(bool) if len(f.as_buffer()) else np.zeros(k, dtype=bool) for f, k in zip(bucket["flags"], sizes.tolist(), strict=True)]
     every, flag = np.concatenate(names), np.concatenate(flags)

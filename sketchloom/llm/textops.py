@@ -157,3 +157,14 @@ def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sum of ``values`` in each of the ranges that ``first`` delimits; 0 for an empty range."""
     total = np.concatenate([[0], np.cumsum(values)])
     return total[first[1:]] - total[first[:-1]]
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Unsigned numbers as byte planes, high bytes first: a shuffle's compression removes what sorting makes alike."""
+    return values.astype(values.dtype.newbyteorder(">")).view(np.uint8).reshape(-1, values.dtype.itemsize).T.tobytes()
+
+
+def from_planes(data, kind: str = "u8") -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    flat = np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(size, -1).T)
+    return flat.reshape(-1).view(f">{kind}").astype(kind)
