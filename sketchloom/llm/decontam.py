@@ -12,7 +12,8 @@ look-up. Texts are never moved.
 
 Defined cases: null or wordless documents have no hits, wordless items no windows; equal items are
 found under each of their ids, repeated rows of an item once; a null item_id is the empty string.
-Empty tables give no hits. The result is one struct ``hits``, which replaces a column of that name.
+Empty tables give no hits. The result is one struct ``hits``, which
+replaces a column of that name; ``cleaned`` returns the documents' own columns whatever their names.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sketchloom.llm import textops
+from sketchloom.llm.columns import shielded
 
 WINDOW = 10
 PART_WORDS = 500_000
@@ -240,10 +242,11 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, most_covered: float = 0.5, wi
     A span is replaced by one space. All columns stay; ``text`` is the shortened text and ``n_chars``,
     where it exists, its length.
     """
-    found = with_hits(docs, benchmark, window=window, part_words=part_words, rest=True)
+    rows, names = shielded(docs, ["text", "n_chars"])
+    found = with_hits(rows, benchmark, window=window, part_words=part_words, rest=True)
     found = found.filter(F.col("hits.n_hit") <= most_covered * F.col("hits.n_words"))
     changed = {"text": F.coalesce("hits.rest", "text")}
     if "n_chars" in docs.columns:
         own = F.when(F.col("hits.rest").isNull(), F.col("n_chars")).otherwise(F.length("hits.rest"))
         changed["n_chars"] = own.cast(docs.schema["n_chars"].dataType)
-    return found.select(*[changed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    return found.select(*[changed.get(c, F.col(n)).alias(c) for c, n in names.items()])

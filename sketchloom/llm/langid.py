@@ -197,7 +197,7 @@ def fit(labelled: DataFrame, most_rows: int = 4000, calibration: float = 0.25, s
     idf = np.log((1 + many) / (1 + frequency)) + 1
     share = F.lit(0.0)
     for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(most_rows / len(languages) / n)).otherwise(share)
+        share = F.when(F.col("lang") == lang, F.lit(min(1.0, most_rows / len(languages) / n))).otherwise(share)
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("key").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / float(1 << 32)
     drawn = rows.withColumn("draw", draw / share).filter("draw < 1").select("text", "lang", "draw")
     vectors = sample_vectors(drawn).sort_values(["draw", "lang"])

@@ -16,7 +16,8 @@ Defined cases: null text has no words and fails the base rule; null language or
 of its own; groups with fewer than ``least_rows`` usable documents use the estimate of their
 language, and languages with fewer that of all documents; with none at all only the base rule
 holds. Repeated rows count as often as they occur. Further columns are kept; the statistics are
-in one struct ``quality``, which replaces a column of that name.
+in one struct ``quality``, which replaces a column of that name; ``accepted`` returns the documents' own
+columns whatever their names.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sketchloom.llm import textops
+from sketchloom.llm.columns import shielded
 from sketchloom.session import materialize
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks"]
@@ -258,5 +260,6 @@ def judge(stats: DataFrame, states: DataFrame, quantile: float = 0.9999, least_r
 def accepted(docs: DataFrame, **options) -> DataFrame:
     """The documents that are kept, with their own columns. Texts stay where they are scanned."""
     stats = materialize(with_statistics(docs, keep=["lang", "source"]), "quality-stats")
-    judged = judge(with_statistics(docs), fit(stats), **options)
-    return judged.filter("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows, names = shielded(docs, ["text", "lang", "source"])
+    judged = judge(with_statistics(rows), fit(stats), **options)
+    return judged.filter("kept").select(*[F.col(n).alias(c) for c, n in names.items()])
