@@ -60,6 +60,9 @@ def portable_hash(col: Column) -> Column:
     return F.conv(F.substring(F.md5(col), 1, 15), 16, 10).cast("bigint")
 
 
+HASHERS = {hasher.__name__: hasher for hasher in (fast_hash, portable_hash)}
+
+
 # -- shingling ---------------------------------------------------------------------------------
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Window
@@ -49,6 +50,8 @@ def info(meta: DataFrame) -> DataFrame:
         F.min_by("ksize", "name").alias("ksize"),
         F.min_by("prime", "name").alias("prime"),
         F.min_by("n", "name").alias("sketch_size"),
+        F.min_by("hash", "name").alias("hash"),
+        F.min_by("both_strands", "name").alias("both_strands"),
     )
 
 
@@ -61,14 +64,15 @@ def delete(db: Database, names: DataFrame) -> Database:
 def insert(db: Database, sequences: DataFrame, spec: SketchSpec) -> Database:
     """Sketch the sets that are not in the database yet and add them.
 
-    Size, shingle length and modulus come from the database's first sketch. As in the original tool
+    Size, shingle length and modulus come from the database's first sketch; its hash must be the one
+    given. As in the original tool
     inserted text is taken as it is: neither upper-cased nor split at other letters; the number of
     distinct shingles is exact.
     """
     first = info(db.meta).first()
-    own = SketchSpec(
-        n=first["sketch_size"], ksize=first["ksize"], prime=first["prime"], alphabet=None, uppercase=False, hasher=spec.hasher
-    )
+    if (first["hash"], first["both_strands"]) != (spec.hasher.__name__, spec.both_strands):
+        raise ValueError(f"the database was made with {first['hash']} (both strands: {first['both_strands']}), not with {spec.hasher.__name__}")
+    own = replace(spec, n=first["sketch_size"], ksize=first["ksize"], prime=first["prime"], alphabet=None, uppercase=False)
     fresh = sequences.join(db.meta.select("name"), "name", "left_anti")
     added = build(fresh, own, exact=True)
     return Database(db.meta.unionByName(added.meta), db.entries.unionByName(added.entries))
@@ -77,10 +81,10 @@ def insert(db: Database, sequences: DataFrame, spec: SketchSpec) -> Database:
 def union(first: Database, second: Database) -> Database:
     """Both databases together, one sketch per path; where a path is in both, the first one's stays.
 
-    The two must agree in shingle length and modulus.
+    The two must agree in shingle length, modulus, hash and strands.
     """
     both = first.meta.withColumn("side", F.lit(1)).unionByName(second.meta.withColumn("side", F.lit(2)))
-    require_same(both, "ksize", "prime")
+    require_same(both, "ksize", "prime", "hash", "both_strands")
     ranked = both.withColumn("pick", F.row_number().over(Window.partitionBy("path").orderBy("side", "name")))
     meta = ranked.where("pick = 1").drop("pick")
     rows = first.entries.withColumn("side", F.lit(1)).unionByName(second.entries.withColumn("side", F.lit(2)))

@@ -148,15 +148,19 @@ def denominators(entries: DataFrame, ks: list[int]) -> DataFrame:
     return whole.select("name", F.inline(F.array(*[distinct(k) for k in ks])))
 
 
-def containment(found: DataFrame, entries: DataFrame, ks: list[int]) -> DataFrame:
-    """``(name, k, hits, denom, ci)`` for every sketch and length, zero where nothing matched."""
+def containment(found: DataFrame, entries: DataFrame, ks: list[int], meta: DataFrame | None = None) -> DataFrame:
+    """``(name, k, hits, denom, ci)`` for every sketch and length, zero where nothing matched.
+
+    With ``meta`` (any table with ``name``) sets without a shingle are present as well, with zeros.
+    """
     numerators = hits(found).groupBy("name", "k").agg(F.count("*").alias("hits"))
     count = F.coalesce("hits", F.lit(0).cast("bigint"))
-    return (
-        denominators(entries, ks)
-        .join(numerators, ["name", "k"], "left")
-        .select("name", "k", count.alias("hits"), "denom", (count / F.col("denom")).alias("ci"))
-    )
+    sizes = denominators(entries, ks)
+    if meta is not None:
+        every = meta.select("name", F.explode(F.array(*[F.lit(k) for k in ks])).alias("k"))
+        sizes = every.join(sizes, ["name", "k"], "left").withColumn("denom", F.coalesce("denom", F.lit(0).cast("bigint")))
+    ratio = F.when(F.col("denom") > 0, count / F.col("denom")).otherwise(F.lit(0.0))
+    return sizes.join(numerators, ["name", "k"], "left").select("name", "k", count.alias("hits"), "denom", ratio.alias("ci"))
 
 
 def wide(results: DataFrame, ks: list[int]) -> DataFrame:

@@ -142,12 +142,15 @@ def cardinality(sequences: DataFrame, spec: SketchSpec = SketchSpec(), exact: bo
 
 
 def describe(sequences: DataFrame, spec: SketchSpec = SketchSpec(), exact: bool = False) -> DataFrame:
-    """One metadata row per set: ``(name, path, ksize, prime, n, true_num_kmers)``.
+    """One metadata row per set: ``(name, path, ksize, prime, n, true_num_kmers, hash, both_strands)``.
 
     Sets without any shingle are present with a count of zero. ``path`` is taken from the input
-    when it has that column, else it is the name.
+    when it has that column, else it is the name; a name with two paths is an error.
     """
     path = F.min("path") if "path" in sequences.columns else F.min("name")
+    if "path" in sequences.columns:
+        two = F.concat(F.lit("names must be unique; two files are named "), F.first("name"))
+        path = F.when(F.min("path").eqNullSafe(F.max("path")), F.min("path")).otherwise(F.raise_error(two))
     names = sequences.groupBy("name").agg(path.alias("path"))
     counts = cardinality(sequences, spec, exact)
     return names.join(counts, "name", "left").select(
@@ -157,4 +160,6 @@ def describe(sequences: DataFrame, spec: SketchSpec = SketchSpec(), exact: bool
         F.lit(spec.prime).cast("bigint").alias("prime"),
         F.lit(spec.n).alias("n"),
         F.coalesce("true_num_kmers", F.lit(0).cast("bigint")).alias("true_num_kmers"),
+        F.lit(spec.hasher.__name__).alias("hash"),
+        F.lit(spec.both_strands).alias("both_strands"),
     )

@@ -28,7 +28,18 @@ from sketchloom.operators import (
 from sketchloom.plans import tables as t
 from sketchloom.session import materialize, scratch_dir
 from sketchloom.sources.profiles import profile_lines
-from sketchloom.sources.sequences import concatenated_reference
+from sketchloom.sources.results import (
+    read_grams,
+    read_index,
+    read_matches,
+    read_results,
+    write_grams,
+    write_index,
+    write_matches,
+    write_results,
+)
+from sketchloom.sources.sequences import concatenated_reference, read_sequences, write_fasta
+from sketchloom.sources.sketchdb import export_database, import_database
 from sketchloom.streaming import containment as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,9 +80,18 @@ def kmer_distinct_count(spark, folder):
     return sketch.cardinality(t.documents(spark, folder), t.TEXT, exact=True)
 
 
+# Six standard errors of a sketch with 2^14 registers (0.83 / 2^7 each, rounded up), and one for tiny sets.
+HLL_BOUND = 0.04
+
+
 @register
 def hll_cardinality(spark, folder):
-    return sketch.cardinality(t.documents(spark, folder), t.TEXT)
+    """The exact count next to whether the estimate lies within its error bound."""
+    docs = t.documents(spark, folder)
+    rough = sketch.cardinality(docs, t.TEXT).withColumnRenamed("true_num_kmers", "rough")
+    both = sketch.cardinality(docs, t.TEXT, exact=True).join(rough, "name")
+    within = F.abs(F.col("rough") - F.col("true_num_kmers")) <= HLL_BOUND * F.col("true_num_kmers") + 1
+    return both.select("name", F.col("true_num_kmers").alias("exact"), within.alias("within"))
 
 
 @register
@@ -202,14 +222,18 @@ def _focal(spark, folder) -> tuple[DataFrame, DataFrame]:
     return materialize(focal, "focal"), materialize(others, "sketches")
 
 
+def _names(spark, folder) -> DataFrame:
+    return t.table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("name"))
+
+
 @register
 def common(spark, folder):
-    return similarity.common(*_focal(spark, folder), t.N_FOCAL)
+    return similarity.common(*_focal(spark, folder), t.N_FOCAL, _names(spark, folder))
 
 
 @register
 def common_count(spark, folder):
-    return similarity.common_count(*_focal(spark, folder), t.N_FOCAL)
+    return similarity.common_count(*_focal(spark, folder), t.N_FOCAL, _names(spark, folder))
 
 
 @register
@@ -221,12 +245,12 @@ def jaccard(spark, folder):
 
 @register
 def jaccard_vector(spark, folder):
-    return similarity.jaccard_vector(*_focal(spark, folder), t.N_FOCAL).select("name", r9("jaccard").alias("jaccard"))
+    return similarity.jaccard_vector(*_focal(spark, folder), t.N_FOCAL, _names(spark, folder)).select("name", r9("jaccard").alias("jaccard"))
 
 
 @register
 def jaccard_dist(spark, folder):
-    return similarity.jaccard_distance(*_focal(spark, folder), t.N_FOCAL).select("name", r9("distance").alias("distance"))
+    return similarity.jaccard_distance(*_focal(spark, folder), t.N_FOCAL, _names(spark, folder)).select("name", r9("distance").alias("distance"))
 
 
 @register
@@ -237,7 +261,7 @@ def jaccard_count(spark, folder):
 
 @register
 def count_vector(spark, folder):
-    return similarity.count_vector(*_focal(spark, folder), t.N_FOCAL).select("name", r9("share").alias("share"))
+    return similarity.count_vector(*_focal(spark, folder), t.N_FOCAL, _names(spark, folder)).select("name", r9("share").alias("share"))
 
 
 @register
@@ -247,7 +271,7 @@ def mash_jaccard(spark, folder):
 
 @register
 def capped_overlap(spark, folder):
-    table = similarity.capped_overlap(*_focal(spark, folder), t.N_FOCAL)
+    table = similarity.capped_overlap(*_focal(spark, folder), t.N_FOCAL, names=_names(spark, folder))
     return table.select("name", "common", "focal_shared", "other_shared", "focal_size", "other_size", "focal_total", "other_total")
 
 
@@ -281,7 +305,7 @@ def jaccard_count_matrix(spark, folder):
 
 
 def _clusters(spark, folder) -> DataFrame:
-    return cluster.cluster_sketches(_sketches(spark, folder), t.N, LINK)
+    return cluster.cluster_sketches(_sketches(spark, folder), t.N, LINK, names=_names(spark, folder))
 
 
 @register
@@ -374,7 +398,10 @@ def _dna_entries(spark, folder) -> DataFrame:
 
 @register
 def prefix_index(spark, folder):
-    index = multik.prefix_index(_dna_entries(spark, folder), t.KS)
+    return _index_summary(multik.prefix_index(_dna_entries(spark, folder), t.KS))
+
+
+def _index_summary(index: DataFrame) -> DataFrame:
     return index.groupBy(big("k"), "name").agg(
         F.count("*").alias("entries"),
         F.countDistinct("key").alias("keys"),
@@ -412,7 +439,7 @@ def multi_k_hits(spark, folder):
 
 def _containment(spark, folder) -> DataFrame:
     entries, found = _multi(spark, folder)
-    return multik.containment(found, entries, t.KS)
+    return multik.containment(found, entries, t.KS, _names(spark, folder))
 
 
 @register
@@ -472,7 +499,7 @@ def stream_containment(spark, folder):
     sequences = arriving.select(F.lit("benchmark").alias("name"), dna_projection("text").alias("seq"))
     place = os.path.join(scratch_dir(spark), f"stream-{uuid.uuid4().hex}")
     streaming.start(sequences, index, table, t.KS, f"{place}/hits", f"{place}/state").awaitTermination()
-    result = streaming.current(f"{place}/hits", entries, t.KS)
+    result = streaming.current(f"{place}/hits", entries, t.KS, _names(spark, folder))
     return result.select("name", big("k"), "hits", "denom", r9("ci").alias("ci"))
 
 
@@ -618,3 +645,86 @@ def concat_reference(spark, folder):
         F.col("conv_id").cast("string").alias("name"), F.col("turn").alias("at"), F.col("text").alias("seq")
     )
     return concatenated_reference(turns).select("name", big("at"), big("part"), "text")
+
+
+# -- files written to the shared folder and read back ------------------------------------------
+
+
+def _place(spark, tag: str) -> str:
+    return os.path.join(scratch_dir(spark), f"{tag}-{uuid.uuid4().hex}")
+
+
+# Line ends and the letters that begin a record are taken out of the texts that become sequences.
+MARKS = "\n\r>@+"
+
+
+def _as_sequences(spark, folder) -> DataFrame:
+    docs = t.table(spark, folder, "documents")
+    return docs.select(F.col("doc_id").cast("string").alias("record"), F.translate("text", MARKS, "").alias("seq"))
+
+
+def _digests(records: DataFrame) -> DataFrame:
+    return records.select("record", F.length("seq").cast("bigint").alias("letters"), F.md5("seq").alias("digest"))
+
+
+@register
+def fasta_scan(spark, folder):
+    place = _place(spark, "fasta")
+    write_fasta(_as_sequences(spark, folder), place)
+    return _digests(read_sequences(spark, place))
+
+
+@register
+def gz_scan(spark, folder):
+    """Compressed files, which do not split."""
+    place = _place(spark, "fasta-gz")
+    lines = _as_sequences(spark, folder).select(F.concat(F.lit(">"), "record", F.lit("\n"), "seq").alias("value"))
+    lines.write.option("compression", "gzip").text(place)
+    return _digests(read_sequences(spark, place))
+
+
+@register
+def fastq_scan(spark, folder):
+    """Four-line records; nothing in the files' names says what they are."""
+    place = _place(spark, "reads")
+    quality = F.regexp_replace("seq", "(?s).", "I")
+    rows = _as_sequences(spark, folder).select(F.concat(F.lit("@"), "record", F.lit("\n"), "seq", F.lit("\n+\n"), quality).alias("value"))
+    rows.write.text(place)
+    return _digests(read_sequences(spark, place))
+
+
+@register
+def db_round_trip(spark, folder):
+    """A database written, and the sketches of the labelled documents read back by name."""
+    place = _place(spark, "db")
+    export_database(_database(spark, folder), place)
+    names = t.table(spark, folder, "labels").select(F.concat(F.lit("some/where/"), F.col("doc_id").cast("string")).alias("name"))
+    return _summary(import_database(spark, place, names))
+
+
+@register
+def index_round_trip(spark, folder):
+    place = _place(spark, "index")
+    write_index(multik.prefix_index(_dna_entries(spark, folder), t.KS), place)
+    return _index_summary(read_index(spark, place))
+
+
+@register
+def match_tsv_round_trip(spark, folder):
+    place = _place(spark, "matches")
+    write_matches(_multi(spark, folder)[1], place)
+    return read_matches(spark, place).select("name", big("k"), big("slot"), "prefix")
+
+
+@register
+def result_csv_round_trip(spark, folder):
+    place = _place(spark, "results")
+    write_results(multik.wide(_containment(spark, folder), t.KS), place)
+    return _wide(read_results(spark, place))
+
+
+@register
+def sample_set_round_trip(spark, folder):
+    place = _place(spark, "sample")
+    write_grams(membership.sample_set(t.benchmark(spark, folder, dna=True), t.DNA_SPEC, strand_neutral=True), place, t.K)
+    return read_grams(spark, place, t.K)

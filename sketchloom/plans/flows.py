@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sketchloom.functions.numbers import cap_k_range, clamp_location, expected_threshold
+from sketchloom.functions.seq import HASHERS
 from sketchloom.operators import maintenance, membership, multik, postprocess, taxonomy, truth
 from sketchloom.operators.sketch import SketchSpec
 from sketchloom.session import materialize
@@ -21,7 +22,8 @@ def _training(spark: SparkSession, file_list: str) -> DataFrame:
 
 def _spec_of(db: maintenance.Database) -> SketchSpec:
     first = maintenance.info(db.meta).first()
-    return SketchSpec(n=first["sketch_size"], ksize=first["ksize"], prime=first["prime"])
+    hasher = HASHERS[first["hash"]]
+    return SketchSpec(n=first["sketch_size"], ksize=first["ksize"], prime=first["prime"], hasher=hasher, both_strands=first["both_strands"])
 
 
 def train(spark: SparkSession, file_list: str, out: str, spec: SketchSpec, grams: bool = False, ks: list[int] | None = None) -> None:
@@ -112,7 +114,7 @@ def query_many(
     sequences = read_sequences(spark, query)
     found = multik.matches(sequences, *stored, ks) if stored else multik.matches_once(sequences, db.entries, ks, spec.ksize)
     found = materialize(found, "matches")
-    chosen = multik.select_results(multik.wide(multik.containment(found, db.entries, ks), ks), ks, coverage, at)
+    chosen = multik.select_results(multik.wide(multik.containment(found, db.entries, ks, db.meta), ks), ks, coverage, at)
     if not sensitive:
         names = materialize(chosen.select("name"), "chosen")
         entries = materialize(postprocess.selected_entries(db.entries, names), "selected")
@@ -123,14 +125,17 @@ def query_many(
 
 
 def load_index(spark: SparkSession, database: str, ks: list[int]) -> tuple[DataFrame, DataFrame] | None:
-    """The written index cut to ``ks``, if it holds all of them and starts at the same shortest length."""
+    """The written index cut to ``ks``, or nothing where none was written.
+
+    An index that lacks a length or starts at another shortest one gives other matches: it is refused.
+    """
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{database}.index/lookup")
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return None
     lookup = spark.read.schema("query string, target string, k int").parquet(f"{database}.index/lookup")
     held = sorted(row["k"] for row in lookup.select("k").distinct().collect())
     if not set(ks) <= set(held) or min(ks) != min(held):
-        return None
+        raise ValueError(f"the written index holds the lengths {held}; {sorted(ks)} need one that begins at {min(ks)} and has them all")
     index = sink.read_index(spark, f"{database}.index/keys")
     return index.where(F.col("k").isin(ks)), lookup.where(F.col("k").isin(ks))
 

@@ -124,7 +124,7 @@ def focal_walk(focal_first: bool = True) -> str:
     return focal() + "," + walk(side, N_FOCAL)
 
 
-def focal_table(select: str, focal_first: bool = True) -> str:
+def focal_table(select: str, focal_first: bool = True, every: bool = False) -> str:
     key, fc, dc = ("b", "ca", "cb") if focal_first else ("a", "cb", "ca")
     return f"""with {focal_walk(focal_first)},
 sums as (select {key} as name, count(*) filter (counted) as common,
@@ -134,8 +134,11 @@ sums as (select {key} as name, count(*) filter (counted) as common,
   cast(sum({fc}) as bigint) as focal_total, cast(sum({dc}) as bigint) as other_total,
   count(*) filter ({fc} is not null and {dc} is not null and rank <= {N_FOCAL}) as within,
   count(*) filter ({fc} is not null and {dc} is not null) as shared, count(*) as united
-  from walk group by 1)
-select name, {select} from sums"""
+  from walk group by 1),
+none as (select cast(doc_id as varchar) as name, 0 as common, 0 as focal_shared, 0 as other_shared,
+  (select count(*) from f_e) as focal_size, 0 as other_size, cast((select sum(cnt) from f_e) as bigint) as focal_total, 0 as other_total
+  from documents where {every} and cast(doc_id as varchar) not in (select name from sums))
+select name, {select} from (select * from sums union all by name select * from none)"""
 
 
 REPS = """
@@ -165,7 +168,8 @@ both_ways as (select i, j from lk union select j, i from lk),
 reach(name, seen) as (select name, name from re group by name
   union select reach.name, both_ways.j from reach join both_ways on both_ways.i = reach.seen),
 label as (select name, min(seen) as cluster from reach group by name),
-cl as (select cp.name, label.cluster from cp join label on cp.representative = label.name)"""
+cl as (select cp.name, label.cluster from cp join label on cp.representative = label.name
+  union all select cast(doc_id as varchar), cast(doc_id as varchar) from documents where cast(doc_id as varchar) not in (select name from cp))"""
 
 LINEAGE = """
 lin as (select cast(doc_id as varchar) as name, 'k__' || lang || '_' || upper(lang) as l1,
@@ -216,8 +220,10 @@ flip as (select g.k, {rc('g.q')} as target from gated g anti join ks on ks.k = g
 target as (select k, target from ahead union select k, target from flip),
 mt as (select distinct ix.name, ix.k, ix.slot, ix.prefix from ix join target t on t.k = ix.k and t.target = ix.key),
 ht as (select distinct name, k, prefix from mt),
-dn as (select name, k, count(distinct substring(kmer, 1, k)) as denom from d_e, unnest([{KLIST}]) u(k) group by all),
-ct as (select dn.name, dn.k, coalesce(hits, 0) as hits, denom, coalesce(hits, 0) / denom as ci from dn
+dn as (select s.name, s.k, count(distinct substring(kmer, 1, s.k)) as denom
+  from (select cast(doc_id as varchar) as name, k from documents, unnest([{KLIST}]) u(k)) s left join d_e on d_e.name = s.name group by all),
+ct as (select dn.name, dn.k, coalesce(hits, 0) as hits, denom,
+  case when denom > 0 then coalesce(hits, 0) / denom else 0.0::double end as ci from dn
   left join (select name, k, count(*) as hits from ht group by all) h on h.name = dn.name and h.k = dn.k),
 wd as (select name, {', '.join(f'max(ci) filter (k = {k}) as k_{k}' for k in KS)} from ct group by name)"""
 
@@ -294,6 +300,7 @@ def oracle() -> dict[str, str]:
     sql = {
         "kmer_extract": f"with {grams('d', DOCS)} {PER_SET.format('d_g')}",
         "kmer_distinct_count": f"with {grams('d', DOCS)} select name, count(distinct kmer) as true_num_kmers from d_g group by name",
+        "hll_cardinality": f"with {grams('d', DOCS)} select name, count(distinct kmer) as exact, true as within from d_g group by name",
         "revcomp": f"select name, md5({rc('seq')}) as digest from ({DOCS_DNA}) s",
         "dna_image": f"select page_id, md5({dna('html')}) as digest from pages",
         "canonical_kmers": f"""with {grams('d', DOCS_DNA, acgt=True)},
@@ -324,18 +331,18 @@ def oracle() -> dict[str, str]:
         + summary("d") + " union all " + summary("x"),
         "db_union": f"with {docs()}, {META}, {FILLED.format('d')}, {extra('x', PAGES)} "
         + summary("d") + " union all " + summary("x"),
-        "common": focal_table("common"),
-        "common_count": focal_table("focal_shared, other_shared"),
+        "common": focal_table("common", every=True),
+        "common_count": focal_table("focal_shared, other_shared", every=True),
         "jaccard": focal_table("round(common / other_size, 9) as jaccard", focal_first=False),
-        "jaccard_vector": focal_table("round(common / focal_size, 9) as jaccard"),
-        "jaccard_dist": focal_table("round(1 - common / focal_size, 9) as distance"),
+        "jaccard_vector": focal_table("round(common / focal_size, 9) as jaccard", every=True),
+        "jaccard_dist": focal_table("round(1 - common / focal_size, 9) as distance", every=True),
         "jaccard_count": focal_table(
             "round(other_shared / other_total, 9) as share_of_other, round(focal_shared / focal_total, 9) as share_of_focal"
         ),
-        "count_vector": focal_table("round(focal_shared / focal_total, 9) as share"),
+        "count_vector": focal_table("round(focal_shared / focal_total, 9) as share", every=True),
         "mash_jaccard": focal_table(f"round(within / least({N_FOCAL}, united), 9) as jaccard"),
         "capped_overlap": focal_table(
-            "common, focal_shared, other_shared, focal_size, other_size, focal_total, other_total"
+            "common, focal_shared, other_shared, focal_size, other_size, focal_total, other_total", every=True
         ),
         "sketch_containment": focal_table("round(shared / other_size, 9) as containment"),
         "sketch_copies": f"with {docs()}, {REPS} select name, representative from cp",
@@ -423,4 +430,14 @@ def oracle() -> dict[str, str]:
         "concat_reference": f"""select cast(conv_id as varchar) as name, turn as at, cast(-1 as bigint) as part, '{"N" * 69}' as text
             from conversations union all select cast(conv_id as varchar), turn, 0, text from conversations where text <> ''""",
     }
+    records = """select cast(doc_id as varchar) as record, length(seq) as letters, md5(seq) as digest
+        from (select doc_id, translate(text, chr(10) || chr(13) || '>@+', '') as seq from documents)"""
+    sql |= dict.fromkeys(("fasta_scan", "fastq_scan", "gz_scan"), records)
+    sql |= {
+        "db_round_trip": sql["db_import_subset"],
+        "index_round_trip": sql["prefix_index"],
+        "match_tsv_round_trip": sql["multi_k_matches"],
+        "result_csv_round_trip": sql["containment_wide"],
+        "sample_set_round_trip": f"with {grams('q', SAMPLE_DNA, acgt=True)} select distinct least(kmer, {rc('kmer')}) as kmer from q_g",
+    }
     return sql

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sketchloom.functions.seq import dna_projection, portable_hash
 from sketchloom.operators.profile import blank_missing, combine_rows
 from sketchloom.operators.sketch import SketchSpec
-from sketchloom.session import spread_small
+from sketchloom.session import deal_out
 
 # Shingle length and sketch size of the catalogue, and its multi-length range.
 K = 21
@@ -30,26 +30,26 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, folder: str, dna: bool = False) -> DataFrame:
     seq = dna_projection("text") if dna else F.col("text")
-    rows = spread_small(table(spark, folder, "documents").select("doc_id", "text"))
+    rows = deal_out(table(spark, folder, "documents").select("doc_id", "text"))
     return rows.select(F.col("doc_id").cast("string").alias("name"), seq.alias("seq"))
 
 
 def benchmark(spark: SparkSession, folder: str, dna: bool = False) -> DataFrame:
     """All benchmark items as the records of one sample."""
     seq = dna_projection("text") if dna else F.col("text")
-    rows = spread_small(table(spark, folder, "benchmark").select("text"))
+    rows = deal_out(table(spark, folder, "benchmark").select("text"))
     return rows.select(F.lit("benchmark").alias("name"), seq.alias("seq"))
 
 
 def conversations(spark: SparkSession, folder: str) -> DataFrame:
     """Each conversation is a set, its turns are the records."""
-    return spread_small(table(spark, folder, "conversations").select("conv_id", "text")).select(
+    return deal_out(table(spark, folder, "conversations").select("conv_id", "text")).select(
         F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("name"), F.col("text").alias("seq")
     )
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
-    return spread_small(table(spark, folder, "pages").select("page_id", "html")).select(
+    return deal_out(table(spark, folder, "pages").select("page_id", "html")).select(
         F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("name"), F.col("html").alias("seq")
     )
 

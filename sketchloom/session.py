@@ -8,9 +8,6 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# An input with fewer bytes than this per available task is dealt out anew.
-SMALL_PER_TASK = 16 << 20
-
 # A build side above this many rows is never broadcast.
 BROADCAST_ROWS = 1_000_000
 
@@ -61,15 +58,14 @@ def materialize(df: DataFrame, tag: str = "table") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Deal an input that is too small to fill the cluster over all its tasks.
+def deal_out(df: DataFrame) -> DataFrame:
+    """Deal an input that is read by fewer tasks than the session has over all of them.
 
-    A file of one row group is read by one task, which would then do all the shingling. The
-    estimate comes from the file sizes; an input that fills the cluster is left where it is.
+    A compressed file or a single row group is read by one task, whatever its size, which would
+    then do all the work on it. An input with a task for every core is left where it is read.
     """
     tasks = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(tasks) if size < tasks * SMALL_PER_TASK else df
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
 
 
 def small_or_shuffled(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -9,7 +9,7 @@ from sketchloom.operators import maintenance
 from sketchloom.operators.maintenance import Database
 from sketchloom.operators.sketch import SketchSpec
 
-META = "name string, path string, ksize int, prime bigint, n int, true_num_kmers bigint"
+META = "name string, path string, ksize int, prime bigint, n int, true_num_kmers bigint, hash string, both_strands boolean"
 ENTRIES = "name string, slot int, h bigint, cnt bigint, kmer string"
 
 

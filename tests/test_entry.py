@@ -6,7 +6,7 @@ import __spark_entry__ as driver
 def test_catalogue_and_twins_agree_on_names():
     names, sql = set(driver.queries()), set(driver.oracle_sql())
     assert sql <= names
-    assert {n for n in names - sql if n in driver.QUERIES} == {"hll_cardinality"}
+    assert not {n for n in names - sql if n in driver.QUERIES}
 
 
 def test_flagship(spark):
