@@ -5,9 +5,13 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from sketchloom import session
 from sketchloom.__main__ import main
-from sketchloom.operators import profile, taxonomy
-from sketchloom.sources import profiles, results, sequences
+from sketchloom.functions.seq import portable_hash
+from sketchloom.operators import cluster, maintenance, multik, profile, similarity, sketch, taxonomy
+from sketchloom.operators.sketch import SketchSpec
+from sketchloom.plans import flows
+from sketchloom.sources import profiles, results, sequences, sketchdb
 from tests.conftest import dna, flip, grams, sets
 
 PROFILE = """#CAMI Submission
@@ -179,3 +183,100 @@ def test_command_line(spark, rng, tmp_path):
     (tmp_path / "tax").write_text("".join(f"{n} 1_o {i} k__2_B|s__{i + 10}_sp\n" for i, n in enumerate(genomes)))
     main(["profile", "-t", str(tmp_path / "tax"), "-c", str(tmp_path / "sensitive"), "-o", str(tmp_path / "prof")], spark)
     assert "10\tspecies\t2|10\tB|sp\t0.010000" in text(tmp_path / "prof")
+
+
+def test_formats_are_told_by_content(spark, tmp_path):
+    (tmp_path / "reads").write_text("\n@r1\nACGT\n+\nACGT\n")
+    (tmp_path / "looks.fq").write_text(">s\nGGTT\n")
+    with gzip.open(tmp_path / "packed.gz", "wt") as out:
+        out.write("@r2\nTTAA\n+\nIIII\n")
+    (tmp_path / "nothing.fa").write_text("")
+    rows = sequences.read_sequences(spark, str(tmp_path)).collect()
+    assert sorted((r["name"], r["record"], r["seq"]) for r in rows) == [
+        ("looks.fq", "s", "GGTT"),
+        ("packed.gz", "r2", "TTAA"),
+        ("reads", "r1", "ACGT"),
+    ]
+    (tmp_path / "other.txt").write_text("hello\n")
+    with pytest.raises(ValueError, match="other.txt"):
+        sequences.read_sequences(spark, str(tmp_path / "*"))
+
+
+def test_a_compressed_file_is_dealt_out(spark, rng, tmp_path):
+    with gzip.open(tmp_path / "big.fq.gz", "wt") as out:
+        for k in range(20_000):
+            out.write(f"@r{k}\n{dna(rng, 100)}\n+\n{'I' * 100}\n")
+    rows = sequences.read_sequences(spark, str(tmp_path / "big.fq.gz"))
+    sizes = [r["n"] for r in rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == spark.sparkContext.defaultParallelism and max(sizes) < 2 * min(sizes)
+
+
+def test_names_must_be_unique(spark, rng, tmp_path):
+    for folder in ("x", "y"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "s.fna").write_text(f">s\n{dna(rng, 300)}\n")
+    (tmp_path / "list").write_text(f"{tmp_path}/x/s.fna\n{tmp_path}/y/s.fna\n")
+    with pytest.raises(ValueError, match="s.fna"):
+        sequences.read_file_list(spark, str(tmp_path / "list"))
+    both = sequences.read_sequences(spark, [f"{tmp_path}/x/s.fna", f"{tmp_path}/y/s.fna"])
+    with pytest.raises(Exception, match="two files are named s.fna"):
+        maintenance.build(both, SketchSpec(n=10, ksize=5)).meta.collect()
+
+
+def test_a_database_knows_its_hash(spark, rng, tmp_path):
+    first, second = sets(spark, {"a": dna(rng, 200)}), sets(spark, {"b": dna(rng, 200)})
+    fast, portable = SketchSpec(n=10, ksize=5), SketchSpec(n=10, ksize=5, hasher=portable_hash)
+    sketchdb.export_database(maintenance.build(first, fast), str(tmp_path / "db"))
+    db = sketchdb.import_database(spark, str(tmp_path / "db"))
+    assert db.meta.first()["hash"] == "fast_hash" and db.meta.first()["both_strands"] is False
+    with pytest.raises(ValueError, match="fast_hash"):
+        maintenance.insert(db, second, portable)
+    with pytest.raises(ValueError):
+        maintenance.union(db, maintenance.build(second, portable)).meta.collect()
+    assert maintenance.insert(db, second, fast).meta.count() == 2
+
+
+def test_sets_without_a_shingle_stay(spark):
+    docs = sets(spark, {"a": "ACGTACGTAC", "tiny": "AC"})
+    spec = SketchSpec(n=10, ksize=5)
+    entries, names = sketch.bottom_n(docs, spec), docs.select("name")
+    found = multik.matches_once(sets(spark, {"q": "ACGTACG"}), entries, [3, 5], 5)
+    rows = {(r["name"], r["k"]): (r["hits"], r["denom"], r["ci"]) for r in multik.containment(found, entries, [3, 5], names).collect()}
+    assert rows["tiny", 3] == rows["tiny", 5] == (0, 0, 0.0) and rows["a", 5][2] > 0
+    focal = sketch.bottom_n(sets(spark, {"q": "ACGTACG"}), spec)
+    assert {r["name"]: r["common"] for r in similarity.common(focal, entries, 10, names).collect()}["tiny"] == 0
+    placed = {r["name"]: r["cluster"] for r in cluster.cluster_sketches(entries, 10, names=names).collect()}
+    assert placed == {"a": "a", "tiny": "tiny"}
+    clusters = spark.createDataFrame([("a", "a"), ("tiny", "a")], "name string, cluster string")
+    with pytest.raises(KeyError, match="tiny"):
+        cluster.common_ancestors(clusters, spark.createDataFrame([("a", "k__x")], "name string, path string"))
+
+
+def test_an_index_that_does_not_fit_is_refused(spark, rng, tmp_path):
+    (tmp_path / "g.fna").write_text(f">g\n{dna(rng, 300)}\n")
+    (tmp_path / "list").write_text(f"{tmp_path}/g.fna\n")
+    db = str(tmp_path / "db")
+    main(["train-multi", "-n", "50", "-k", "12", "-r", "6-12-3", str(tmp_path / "list"), db], spark)
+    with pytest.raises(ValueError, match="lengths"):
+        flows.load_index(spark, db, [5, 9])
+    assert flows.load_index(spark, str(tmp_path / "elsewhere"), [6, 9]) is None
+
+
+class _Session:
+    """A session's settings, for the folder's rule alone."""
+
+    def __init__(self, master, folder):
+        self.conf = {"spark.sql.warehouse.dir": folder}
+        self.sparkContext = self
+        self.master = master
+
+    def getConf(self):
+        return {}
+
+
+def test_scratch_folder(spark):
+    assert session.scratch_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    assert session.scratch_dir(_Session("local[2]", "file:/w")) == "file:/w/scratch"
+    assert session.scratch_dir(_Session("yarn", "hdfs://h/w")) == "hdfs://h/w/scratch"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.scratch_dir(_Session("yarn", "file:/w"))
