@@ -16,7 +16,6 @@ from sketchloom.functions.seq import (
     PIECE,
     Hasher,
     explode_pieces,
-    explode_shingles,
     fast_hash,
     reverse_complement,
     shingles,
@@ -134,7 +133,10 @@ def cardinality(sequences: DataFrame, spec: SketchSpec = SketchSpec(), exact: bo
     The estimate (about 1 % error) is a mergeable sketch, so its shuffle is one small row per set
     and task. The exact count has to shuffle every distinct ``(name, kmer)``.
     """
-    grams = explode_shingles(sequences, spec.ksize, spec.alphabet, spec.uppercase, spec.piece)
+    cut = explode_pieces(sequences, spec.ksize - 1, spec.piece, spec.uppercase)
+    # Repeats inside a piece are dropped before they become rows.
+    within = F.array_distinct(shingles("piece", spec.ksize, spec.alphabet))
+    grams = cut.select("name", F.explode(within).alias("kmer"))
     if exact:
         return grams.groupBy("name").agg(F.countDistinct("kmer").alias("true_num_kmers"))
     register = F.hll_sketch_agg(F.xxhash64("kmer"), F.lit(14))

@@ -22,6 +22,8 @@ def get_spark(app: str = "sketchloom", master: str | None = None, **confs: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         # Hash the smaller side of a shuffled join wherever all its partitions turn out to be small.
         "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
+        # Register sketches of this many sets per task are held before the aggregation turns to sorting all shingles.
+        "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "4096",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
