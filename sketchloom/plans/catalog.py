@@ -27,7 +27,7 @@ from sketchloom.operators import (
 )
 from sketchloom.plans import tables as t
 from sketchloom.session import materialize, scratch_dir
-from sketchloom.sources.profiles import profile_lines
+from sketchloom.sources.profiles import profile_lines, read_profile, read_taxonomy, read_truth, write_profile
 from sketchloom.sources.results import (
     read_grams,
     read_index,
@@ -38,7 +38,13 @@ from sketchloom.sources.results import (
     write_matches,
     write_results,
 )
-from sketchloom.sources.sequences import concatenated_reference, read_sequences, write_fasta
+from sketchloom.sources.sequences import (
+    concatenated_reference,
+    read_sequences,
+    write_cluster_fastas,
+    write_fasta,
+    write_kmer_fasta,
+)
 from sketchloom.sources.sketchdb import export_database, import_database
 from sketchloom.streaming import containment as streaming
 
@@ -728,3 +734,53 @@ def sample_set_round_trip(spark, folder):
     place = _place(spark, "sample")
     write_grams(membership.sample_set(t.benchmark(spark, folder, dna=True), t.DNA_SPEC, strand_neutral=True), place, t.K)
     return read_grams(spark, place, t.K)
+
+
+@register
+def kmer_fasta_round_trip(spark, folder):
+    """The distinct shingles of all sketches as FASTA records, read back."""
+    place = _place(spark, "kmers")
+    kmers = sketch.bottom_n(t.documents(spark, folder, dna=True), t.DNA_SPEC).select("kmer").distinct()
+    write_kmer_fasta(kmers, place)
+    return read_sequences(spark, place).select(F.col("seq").alias("kmer"))
+
+
+@register
+def cluster_fasta_round_trip(spark, folder):
+    """The records of every cluster's file: which number they have, and the digest of the sequence."""
+    place = _place(spark, "clusters")
+    clusters = materialize(_clusters(spark, folder), "clusters")
+    ancestors = cluster.common_ancestors(clusters, t.lineage(spark, folder))
+    docs = _as_sequences(spark, folder).select(F.col("record").alias("name"), "seq")
+    write_cluster_fastas(cluster.cluster_records(docs, clusters, ancestors), place)
+    rows = read_sequences(spark, f"{place}/*")
+    label, number = F.regexp_extract("record", r"^(.*)_(\d+)$", 1), F.regexp_extract("record", r"_(\d+)$", 1).cast("bigint")
+    folder_name = F.element_at(F.split("path", "/"), -2)
+    return rows.groupBy(label.alias("lca"), F.md5(F.url_decode(folder_name)).alias("file")).agg(
+        F.count("*").alias("records"), F.max(number).alias("last"), F.countDistinct(number).alias("numbers"), F.min(F.md5("seq")).alias("least")
+    ).drop("file")
+
+
+@register
+def profile_text_parse(spark, folder):
+    place = _place(spark, "profile")
+    write_profile(profile.normalize(t.trade_profile(spark, folder, "supplier")), place)
+    return _profile_rows(read_profile(spark, place))
+
+
+@register
+def taxonomy_text_parse(spark, folder):
+    place = _place(spark, "taxonomy")
+    t.lineage(spark, folder).select(F.concat_ws(" ", "name", "organism", "tax_id", "path").alias("value")).write.text(place)
+    return read_taxonomy(spark, place)
+
+
+@register
+def truth_text_parse(spark, folder):
+    """Languages and sources of good documents as a truth profile's lines."""
+    place = _place(spark, "truth")
+    good = t.table(spark, folder, "labels").where("quality = 1").select("doc_id")
+    rows = t.table(spark, folder, "documents").join(good, "doc_id", "left_semi")
+    line = F.explode(F.array(F.concat(F.col("lang"), F.lit("\tsuperkingdom")), F.concat(F.col("source"), F.lit("\tgenus"))))
+    rows.select(line.alias("value")).write.text(place)
+    return read_truth(spark, place)

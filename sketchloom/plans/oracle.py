@@ -438,6 +438,17 @@ def oracle() -> dict[str, str]:
         "index_round_trip": sql["prefix_index"],
         "match_tsv_round_trip": sql["multi_k_matches"],
         "result_csv_round_trip": sql["containment_wide"],
+        "kmer_fasta_round_trip": f"with {docs_dna()} select distinct kmer from d_e",
+        "cluster_fasta_round_trip": f"""with recursive {pairs()}, {CLUSTERS}, {LINEAGE}, {LCA}
+            select lca, count(*) as records, count(*) - 1 as last, count(*) as numbers,
+            min(md5(translate(text, chr(10) || chr(13) || '>@+', ''))) as least
+            from cl join lca on lca.cluster = cl.cluster join documents on cast(doc_id as varchar) = cl.name group by cl.cluster, lca""",
+        "profile_text_parse": f"""with {trade('p', 'supplier')}, {NORMAL.format('p')}, {added('p', 'p_pct')},
+            q as (select * replace (round(abundance, 6) as abundance) from p_add where abundance > 1e-16) {PROFILE} q""",
+        "taxonomy_text_parse": f"""with {LINEAGE}
+            select name, 'doc_' || doc_id as organism, 'd' || doc_id as tax_id, l1 || '|' || l2 || '|' || l3 as path from lin""",
+        "truth_text_parse": """with g as (select * from documents where doc_id in (select doc_id from labels where quality = 1))
+            select 'k' as rank, lang as tax_id from g union select 'g', source from g""",
         "sample_set_round_trip": f"with {grams('q', SAMPLE_DNA, acgt=True)} select distinct least(kmer, {rc('kmer')}) as kmer from q_g",
     }
     return sql
