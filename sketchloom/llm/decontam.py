@@ -6,7 +6,7 @@ that ends at each word is tracked. A match of ``window`` words or more contains
 consecutive item words, all of whose words are hit; an item of fewer words is a window as a whole.
 
 The benchmark is cut into parts of at most ``part_words`` words, which bounds the broadcast
-automaton (about 200 bytes a word); a larger benchmark costs more passes over the documents. Words
+automaton (about 200 bytes a word); a larger benchmark costs more passes over the documents, one part each. Words
 outside the part's vocabulary end every match, so only runs of known words are walked, after a vectorised
 look-up. Texts are never moved.
 
@@ -28,6 +28,7 @@ from pyspark.sql import types as T
 
 from sketchloom.llm import textops
 from sketchloom.llm.columns import shielded
+from sketchloom.session import materialize
 
 WINDOW = 10
 PART_WORDS = 500_000
@@ -196,39 +197,57 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", kee
     With ``rest`` also the text without the spans, a space in the place of each; null where there are none.
     """
     names = [c for c in (docs.columns if keep is None else keep) if c != "hits"]
+    both = list(dict.fromkeys([*names, text_col]))
+    found = docs.select(*[F.col(f"`{c}`") for c in both])
+    for k, automaton in enumerate(parts(benchmark, window, part_words)):
+        # Passes are kept apart by written tables: chained in one task, each would hold its automaton.
+        found = one_pass(found if not k else materialize(found, "decontam-part"), automaton, text_col, rest)
+    return found.select(*[F.col(f"`{c}`") for c in names], "hits")
+
+
+def one_pass(docs: DataFrame, automaton: Automaton, text_col: str, rest: bool) -> DataFrame:
+    """``hits`` of one part of the benchmark, together with those that the documents already carry."""
+    names = [c for c in docs.columns if c != "hits"]
+    earlier = len(names) < len(docs.columns)
     schema = T.StructType([docs.schema[c] for c in names] + [T.StructField("hits", HITS)])
-    # Each part's automaton is broadcast; a task holds one of them at a time.
-    automata = [docs.sparkSession.sparkContext.broadcast(a) for a in parts(benchmark, window, part_words)]
+    shared = docs.sparkSession.sparkContext.broadcast(automaton)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = []
             for block in textops.blocks(batch.column(text_col)):
+                found, hit, items = block_hits(block, shared.value)
                 many = len(block.offsets) - 1
-                total, named = None, [set() for _ in range(many)]
-                for automaton in automata:
-                    found, hit, items = block_hits(block, automaton.value)
-                    total = hit if total is None else total | hit
-                    named = [a | b for a, b in zip(named, items, strict=True)]
-                hit_words = textops.sums(total.astype(np.int64), found.first).tolist()
-                for row in range(many):
-                    spans, left = [], None
-                    if hit_words[row]:
-                        low, high = found.first[row], found.first[row + 1]
-                        own = np.flatnonzero(total[low:high]) + low
-                        cut = np.flatnonzero(np.diff(own) > 1)
-                        firsts, lasts = own[np.concatenate([[0], cut + 1])], own[np.concatenate([cut, [len(own) - 1]])]
+                for row, before in enumerate(batch.column("hits").slice(block.first, many).to_pylist() if earlier else []):
+                    items[row] |= set(before["items"])
+                    for low, high in before["spans"]:
                         base = block.offsets[row]
-                        spans = np.stack([found.starts[firsts] - base, found.ends[lasts] - base], axis=1).tolist()
-                        if rest:
-                            cuts = [0, *np.ravel(spans).tolist(), block.offsets[row + 1] - base]
-                            data = block.data[base : block.offsets[row + 1]].tobytes()
-                            left = b" ".join(data[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True)).decode()
-                    made.append({"n_words": int(found.first[row + 1] - found.first[row]), "n_hit": hit_words[row], "items": sorted(named[row], key=str.encode), "spans": spans, "rest": left})
-            hits = pa.array(made, pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.list_(pa.int64()))), ("rest", pa.string())]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), hits], [*names, "hits"])
-
-    return docs.select(*dict.fromkeys([*(f"`{c}`" for c in names), f"`{text_col}`"])).mapInArrow(run, schema)
+                        hit[np.searchsorted(found.starts, low + base) : np.searchsorted(found.ends, high + base, side="right")] = True
+                made += rows_of(block, found, hit, items, rest)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(made, ARROW_HITS)], [*names, "hits"])
+
+    return docs.mapInArrow(run, schema)
+
+
+ARROW_HITS = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.list_(pa.int64()))), ("rest", pa.string())])
+
+
+def rows_of(block: textops.Block, found: textops.Words, hit: np.ndarray, items: list[set[str]], rest: bool) -> list[dict]:
+    counts, out = textops.sums(hit.astype(np.int64), found.first).tolist(), []
+    for row, hit_words in enumerate(counts):
+        spans, left = [], None
+        low, high, base = found.first[row], found.first[row + 1], block.offsets[row]
+        if hit_words:
+            own = np.flatnonzero(hit[low:high]) + low
+            cut = np.flatnonzero(np.diff(own) > 1)
+            firsts, lasts = own[np.concatenate([[0], cut + 1])], own[np.concatenate([cut, [len(own) - 1]])]
+            spans = np.stack([found.starts[firsts] - base, found.ends[lasts] - base], axis=1).tolist()
+            if rest:
+                cuts = [0, *np.ravel(spans).tolist(), block.offsets[row + 1] - base]
+                data = block.data[base : block.offsets[row + 1]].tobytes()
+                left = b" ".join(data[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True)).decode()
+        out.append({"n_words": int(high - low), "n_hit": hit_words, "items": sorted(items[row], key=str.encode), "spans": spans, "rest": left})
+    return out
 
 
 def digest(items) -> F.Column:
