@@ -118,6 +118,43 @@ def op8_decontamination(spark, folder):
     )
 
 
+ABC = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+SQL["op7_near_dedup"] = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {ABC}), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) >= 5 THEN array_to_string(w[i:i+4], ' ') ELSE ' ' || array_to_string(w, ' ') END AS shingle
+  FROM d, unnest(range(1, greatest(len(w) - 3, 2))) u(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, seen) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.seen)
+SELECT r.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(seen) AS component_id, r.doc_id = min(seen) AS kept
+FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+"""
+
+SQL["op8_decontamination"] = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {ABC}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (
+  SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), {ABC}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+v AS (
+  SELECT DISTINCT item, least(len(w), 10) AS many, array_to_string(w[k:k + least(len(w), 10) - 1], ' ') AS words
+  FROM i, unnest(range(1, len(w) - least(len(w), 10) + 2)) u(k) WHERE len(w) > 0),
+x AS (
+  SELECT doc_id, k, many, array_to_string(w[k:k + many - 1], ' ') AS words
+  FROM d, (SELECT DISTINCT many FROM v) m, unnest(range(1, len(w) - many + 2)) u(k)),
+f AS (SELECT doc_id, k, x.many, item FROM x JOIN v ON v.words = x.words AND v.many = x.many),
+h AS (SELECT doc_id, count(DISTINCT k + j) AS n_hit FROM f, unnest(range(0, many)) u(j) GROUP BY doc_id),
+g AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM f) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN g ON g.doc_id = d.doc_id
+"""
+
+
 @register
 def op9_quality_rules(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
