@@ -7,10 +7,12 @@ similarity, corrected for chance agreement. Pairs whose estimate is over five st
 threshold, or whose set sizes rule it out, are dropped; the others are confirmed on full sets.
 A pair at the threshold misses all bands with probability (1 - 0.75^4)^32 = 5e-6.
 
-Groups are never expanded into pairs. In every round each band bucket tests a few hubs against its
-members of other components, the links found join components, and buckets that lie in one component
-are done. The number of hubs doubles from round to round, so a bucket is settled after log2(members)
-rounds at most, and one of thousands of near copies usually after the first.
+Groups are never expanded into pairs. In every round each band bucket tests a few hubs, those that
+share most bands with others first, against its members of other components; the links found join
+components, and buckets that lie in one component are done. After the first round, in which
+thousands of near copies usually join one component, shingles that no other open class has are counted: a
+class with too many of them can reach the threshold with none and leaves its buckets. The hubs grow
+sixteenfold from round to round, so a bucket is settled after log16(members) rounds at most.
 
 Defined cases: null or wordless text has the empty set and is linked with nothing, as is a row with
 a null id (its component is null and it is kept). Rows of one id are documents of their own that
@@ -106,38 +108,50 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def set_table(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``node, items`` (the packed sorted set) of the wanted classes, from the text of one of their rows."""
+    """``node, items`` (the sorted set) of the wanted classes, from the text of one of their rows."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted.select("id"), "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in textops.blocks(batch.column("text")):
                 hashes, first = sets_of(block)
-                items = [hashes[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(digests(hashes, first), pa.binary()), pa.array(items, pa.binary())], ["node", "items"])
+                items = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(hashes.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(digests(hashes, first), pa.binary()), items], ["node", "items"])
 
-    made = rows.mapInArrow(run, "node binary, items binary")
+    made = rows.mapInArrow(run, "node binary, items array<bigint>")
     # Two rows of one id can differ in text; of equal ones a single row stays.
     return made.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
 
+MISSING = [f"miss{k}" for k in range(4)]
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int = 75) -> DataFrame:
-    """Those of ``pairs(a, b)`` with 100 * intersection >= threshold * union, on full sets."""
+    """``pairs(a, b)`` with ``linked``: is 100 * intersection >= threshold * union, on full sets?
+
+    Also how many shingles are in both, and a map of those of ``a`` that ``b`` lacks: 256 bits, one for
+    each value of the hash's first byte.
+    """
     both = pairs.join(sets.withColumnsRenamed({"node": "b", "items": "right"}), "b").join(sets.withColumnsRenamed({"node": "a", "items": "left"}), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = batch.column("left"), batch.column("right")
-            ok = np.zeros(batch.num_rows, dtype=bool)
-            for k in range(batch.num_rows):
-                x, y = (np.frombuffer(side[k].as_buffer(), dtype=np.uint64) for side in (left, right))
-                merged = np.concatenate([x, y])
-                merged.sort(kind="stable")
-                common = int(np.count_nonzero(merged[1:] == merged[:-1]))
-                ok[k] = 100 * common >= threshold * (len(merged) - common)
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
-
-    return both.select("a", "b", "left", "right").mapInArrow(run, "a binary, b binary")
+            (x, x_at), (y, y_at) = ((c.values.to_numpy(), c.offsets.to_numpy()) for c in (batch.column("left"), batch.column("right")))
+            x, y = x.view(np.uint64), y.view(np.uint64)
+            many = batch.num_rows
+            linked, common, maps = np.zeros(many, dtype=bool), np.zeros(many, dtype=np.int64), np.zeros((many, 4), dtype=np.uint64)
+            for k in range(many):
+                left, right = x[x_at[k] : x_at[k + 1]], y[y_at[k] : y_at[k + 1]]
+                found = right[np.minimum(np.searchsorted(right, left), len(right) - 1)] == left
+                common[k] = np.count_nonzero(found)
+                linked[k] = 100 * common[k] >= threshold * (len(left) + len(right) - common[k])
+                first = np.zeros(256, dtype=bool)
+                first[left[~found] >> np.uint64(56)] = True
+                maps[k] = np.packbits(first).view(np.uint64)
+            columns = [pa.array(np.ascontiguousarray(maps[:, k]).view(np.int64)) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked), pa.array(common), *columns], ["a", "b", "linked", "common", *MISSING])
+
+    return both.select("a", "b", "left", "right").mapInArrow(run, "a binary, b binary, linked boolean, common bigint, " + ", ".join(f"{c} bigint" for c in MISSING))
 
 
 def estimate(one: str, other: str) -> Column:
@@ -170,15 +184,14 @@ def join_components(labels: DataFrame, links: DataFrame) -> DataFrame:
     edges = materialize(edges, "neardup-edges")
     moved = None
     while not edges.isEmpty():
-        # Every label goes to its least neighbour; edges are then drawn between the new labels.
-        best = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).groupBy("x").agg(F.min("y").alias("to"))
-        best = materialize(best.filter(F.col("to") < F.col("x")), "neardup-best")
+        # Every label goes to its least neighbour, where that is less; links are then drawn anew.
+        best = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).groupBy("x").agg(F.min("y").alias("to")).filter(F.col("to") < F.col("x"))
         if moved is None:
             moved = best
         else:
             further = moved.join(best.select(F.col("x").alias("to"), F.col("to").alias("further")), "to", "left")
             moved = further.select("x", F.coalesce("further", "to").alias("to")).unionByName(best.join(moved.select("x"), "x", "left_anti"))
-            moved = materialize(moved, "neardup-moved")
+        moved = materialize(moved, "neardup-moved")
         after = edges
         for side in ("x", "y"):
             after = after.join(best.withColumnsRenamed({"x": side, "to": f"{side}to"}), side, "left").withColumn(f"n{side}", F.coalesce(f"{side}to", side)).drop(f"{side}to")
@@ -190,6 +203,76 @@ def join_components(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(new, "neardup-labels")
 
 
+def next_hubs(members: DataFrame, many: int) -> DataFrame:
+    """The first ``many`` members of each bucket that have been no hub yet.
+
+    Only so many rows a bucket and task are shuffled: the limit on the rank is applied before.
+    """
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("turn"))
+    hubs = members.filter(~F.col("met")).withColumn("rank", rank).filter(F.col("rank") <= many)
+    return hubs.select(*[F.col(f"`{c}`").alias(f"h_{c}") for c in hubs.columns if c not in ("met", "rank")])
+
+
+def candidates(members: DataFrame, hubs: DataFrame, threshold: int) -> DataFrame:
+    """Distinct pairs ``(a, b)`` of hubs and members of their bucket that are in other components and come later.
+
+    Dropped are pairs that set sizes or the shingles that both can have in common rule out, and
+    those whose signatures differ too much. After :func:`beside_hub` the bound is sharper: of the first
+    hub's shingles a pair has none in common that either lacks. Where the members have their ``bands``, a
+    pair is told by the least band that it shares, and not by every one.
+    """
+    common = F.least("solid", "h_solid", "n_shingles", "h_n_shingles")
+    if "apart" in members.columns:
+        lacked = F.lit(0)
+        for c in MISSING:
+            lacked = lacked + F.bit_count(F.col(c).bitwiseOR(F.col(f"h_{c}")))
+        common = F.least(common, F.col("centre") - lacked + F.least("apart", "h_apart"))
+    reach = 100 * common >= threshold * (F.col("n_shingles") + F.col("h_n_shingles") - common)
+    near = estimate("", "h_") >= least_estimate(threshold / 100)
+    other = ~F.col("met") & (F.col("turn") > F.col("h_turn")) & (F.col("label") != F.col("h_label"))
+    wanted = (F.col("key") == F.col("h_key")) & other & reach & near
+    if "bands" in members.columns:
+        wanted = wanted & (F.array_min(F.array_intersect("bands", "h_bands")) == F.col("key"))
+    return members.join(hubs, wanted).select(F.col("h_node").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def split(members: DataFrame) -> DataFrame:
+    """The members of buckets that still hold several components and untested pairs."""
+    unmet = F.count(F.when(~F.col("met"), 1))
+    state = members.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), unmet.alias("unmet"))
+    return members.join(state.filter((F.col("low") != F.col("high")) & (F.col("unmet") > 1)).select("key"), "key", "left_semi")
+
+
+def within_reach(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """The members that can be linked in their bucket, with ``solid``: shingles that another open class has too.
+
+    Of a set with n shingles, s of them solid, at most s can be common with another; with one of m
+    shingles the similarity is s / (n + m - s) at most for m >= s, and s / n for smaller ones.
+    """
+    nodes = members.select("node").distinct()
+    items = sets.join(nodes, "node", "left_semi").select("node", F.explode("items").alias("item"))
+    alone = items.groupBy("item").agg(F.count(F.lit(1)).alias("many"), F.min("node").alias("node")).filter("many = 1")
+    alone = materialize(alone.groupBy("node").agg(F.count(F.lit(1)).alias("alone")), "neardup-alone")
+    solid = members.drop("solid").join(alone, "node", "left").withColumn("solid", F.col("n_shingles") - F.coalesce("alone", F.lit(0))).drop("alone")
+    solid = materialize(solid, "neardup-solid")
+    least = solid.groupBy("key").agg(F.min("n_shingles").alias("least"))
+    reach = 100 * F.col("solid") >= threshold * (F.col("n_shingles") + F.greatest("least", "solid") - F.col("solid"))
+    return solid.join(least, "key").filter(reach).drop("least")
+
+
+def beside_hub(members: DataFrame, hubs: DataFrame, tested: DataFrame) -> DataFrame:
+    """The members with what they lack of their bucket's first hub, and how many solid shingles they have beside it.
+
+    A member that was not compared with the hub counts as lacking none, and all its solid shingles as beside it.
+    """
+    centre = hubs.select(F.col("h_key").alias("key"), F.col("h_node").alias("a"), F.col("h_n_shingles").alias("centre"))
+    known = tested.drop("linked").withColumnsRenamed({"b": "node", "common": "shared"})
+    out = members.join(centre, "key").join(known, ["a", "node"], "left")
+    own = F.when(F.col("a") == F.col("node"), F.col("centre")).otherwise(F.coalesce("shared", F.lit(0)))
+    out = out.withColumns({"apart": F.col("solid") - own, **{c: F.coalesce(c, F.lit(0)) for c in MISSING}})
+    return out.drop("a", "shared")
+
+
 def components(docs: DataFrame, threshold: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``id, n_shingles, component_id``."""
     rows = materialize(signed(docs, id_col, text_col), "neardup-signed")
@@ -197,35 +280,32 @@ def components(docs: DataFrame, threshold: int = 75, id_col: str = "doc_id", tex
     least = linked.groupBy("node").agg(F.min("id").alias("least"))
     classes = materialize(linked.join(least.withColumnRenamed("node", "c"), (F.col("node") == F.col("c")) & (F.col("id") == F.col("least"))).drop("c", "least").dropDuplicates(["node"]), "neardup-classes")
     banded = classes.select(F.explode("bands").alias("key"), "node", "id", "n_shingles", "s0", "s1", "s2", "s3")
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("key")
-    members = materialize(banded.join(shared, "key"), "neardup-members")
-    labels = materialize(members.select("node", F.col("node").alias("label")).distinct(), "neardup-labels")
-    sets = materialize(set_table(docs, members.select("node", "id").distinct(), id_col, text_col), "neardup-sets")
-    open_members, hubs, used = members, 1, 0
-    while not open_members.isEmpty():
-        # Hubs: the next few nodes of each bucket in order. All earlier ones have met every member.
-        placed = open_members if "place" in open_members.columns else materialize(
-            open_members.withColumn("place", F.row_number().over(Window.partitionBy("key").orderBy("node"))), "neardup-placed"
-        )
-        hub = placed.filter((F.col("place") > used) & (F.col("place") <= used + hubs))
-        hub = hub.select("key", *[F.col(c).alias(f"h_{c}") for c in ("node", "place", "label", "n_shingles", "s0", "s1", "s2", "s3") if c in hub.columns])
-        other = F.col("place") > F.col("h_place")
-        if "label" in placed.columns:
-            other = other & (F.col("label") != F.col("h_label"))
-        sizes = 100 * F.least("n_shingles", "h_n_shingles") >= threshold * F.greatest("n_shingles", "h_n_shingles")
-        near = estimate("", "h_") >= least_estimate(threshold / 100)
-        pairs = placed.join(hub, "key").filter(other & sizes & near).select(F.col("h_node").alias("a"), F.col("node").alias("b")).distinct()
-        links = materialize(confirmed(pairs, sets, threshold), "neardup-links")
-        labels = join_components(labels, links)
-        used, hubs = used + hubs, hubs * 2
-        current = placed.drop("label").join(labels, "node")
-        split = current.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("place").alias("last"))
-        split = split.filter((F.col("low") != F.col("high")) & (F.col("last") > used + 1)).select("key")
-        open_members = materialize(current.join(split, "key"), "neardup-members")
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
+    sharing = materialize(banded.join(shared, "key"), "neardup-sharing")
+    seen = sharing.groupBy("node").agg(F.sum("many").alias("seen"), F.first("id").alias("id"))
+    seen = materialize(seen, "neardup-seen")
+    sets = materialize(set_table(docs, seen.select("node", "id"), id_col, text_col), "neardup-sets")
+    labels = seen.select("node", F.col("node").alias("label"))
+    turned = sharing.drop("id", "many").join(seen.select("node", F.struct((-F.col("seen")).alias("seen"), "node").alias("turn")), "node")
+    members = materialize(turned.withColumns({"label": F.col("node"), "solid": F.col("n_shingles"), "met": F.lit(False)}), "neardup-members")
+    many = 1
+    while not members.isEmpty():
+        hubs = materialize(next_hubs(members, many), "neardup-hubs")
+        tested = materialize(confirmed(candidates(members, hubs, threshold), sets, threshold), "neardup-tested")
+        labels = join_components(labels, tested.filter("linked").select("a", "b"))
+        last = hubs.groupBy("h_key").agg(F.max("h_turn").alias("last"))
+        current = members.drop("label").join(labels, "node").join(last, F.col("key") == F.col("h_key"), "left")
+        current = split(current.withColumn("met", F.col("met") | F.coalesce(F.col("turn") <= F.col("last"), F.lit(False))).drop("h_key", "last"))
+        if many == 1:
+            current = within_reach(materialize(current, "neardup-members"), sets, threshold)
+            current = split(materialize(beside_hub(current, hubs, tested), "neardup-beside"))
+            current = current.join(classes.select("node", "bands"), "node")
+        members = materialize(current, "neardup-members")
+        many *= 16
     full = classes.select("node", "id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = full.join(full.groupBy("label").agg(F.min("id").alias("component_id")), "label").select(F.col("node").alias("c"), "component_id")
     done = rows.select("id", "n_shingles", "node").join(named, F.col("node") == F.col("c"), "left")
-    return done.select("id", "n_shingles", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    return done.select("id", "n_shingles", F.when(F.col("node").isNull() | F.col("id").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, threshold: int = 75) -> DataFrame:
