@@ -23,6 +23,7 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,10 +32,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sketchloom.llm import files
+from sketchloom.llm import files, textops
 from sketchloom.session import materialize
 
 BLOCK_IDS = 1 << 16
+BLOCK = 4 << 20  # bytes of text encoded together
 MAGIC = int.from_bytes(b"PKTOKEN1", "little")
 
 
@@ -131,33 +133,73 @@ class Reader:
         return self.ids(int(self.starts[k]), int(self.starts[k + 1]))
 
 
-class Encoder(dict):
-    """The ids of texts, as little-endian 32-bit bytes, remembering those of words.
+# Texts are cut at these bytes before their pieces are encoded.
+PIECES = np.ones(256, dtype=bool)
+PIECES[[0x20, 0x0A]] = False
 
-    The tokenizer never merges across a space or line break, nor does a normaliser of it, so a text's ids
-    are those of its pieces between them. At most ``most`` pieces are remembered.
+
+class Encoder:
+    """The ids of texts, remembering those of words.
+
+    For tokenizers that lower-case, split at white space and part letters from marks, as the one named here does: a
+    text's ids are those of its pieces between spaces and line breaks, and a piece not seen before
+    can follow from its lower-case form or from the word before a comma or full stop. A block's
+    distinct pieces are looked up once each. At most ``most`` pieces are remembered.
     """
 
     def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self[""] = b""
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(piece) <= 64:
-            if len(self) >= self.most:
-                self.clear()
-                self[""] = b""
-            self[piece] = ids
-        return ids
-
-    def ids(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        self.known: dict[bytes, bytes] = {}
+
+    @staticmethod
+    def base(piece: str) -> str:
+        """The lower-case word before a comma or full stop, which has the same ids."""
+        low = piece.lower() if piece.isascii() else piece
+        if low[-1] in ",." and low[-2:-1].isalpha() and low[-2] < "\u0250":
+            return low[:-1]
+        return low
+
+    def pieces(self, some: list[bytes]) -> list[bytes]:
+        """The ids of distinct pieces, as 32-bit bytes."""
+        found = list(map(self.known.get, some))
+        if None not in found:
+            return found
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        texts = [some[k].decode() for k in missing]
+        bases = [self.base(text) for text in texts]
+        wanted = {".", ","}.union(bases)
+        new = {word: self.known.get(word.encode()) for word in wanted}
+        fresh = [word for word, ids in new.items() if ids is None]
+        for word, encoded in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
+            new[word] = array("I", encoded.ids).tobytes()
+        if len(self.known) + len(missing) + len(fresh) > self.most:
+            self.known.clear()
+        self.known.update((word.encode(), new[word]) for word in fresh if len(word) <= 64)
+        for k, text, base in zip(missing, texts, bases, strict=True):
+            found[k] = new[base] if len(text) == len(base) else new[base] + new[text[-1]]
+            if len(text) <= 64:
+                self.known[some[k]] = found[k]
+        return found
+
+    def ids(self, block: textops.Block, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of a block's texts, each with the end id, and where each text's begin."""
+        cut, data, many = textops.words(block, PIECES), block.data.tobytes(), len(block.offsets) - 1
+        _, at, which = np.unique(textops.word_hashes(block, cut), return_index=True, return_inverse=True)
+        found = self.pieces([data[a:b] for a, b in zip(cut.starts[at].tolist(), cut.ends[at].tolist(), strict=True)])
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4
+        every, begins = np.frombuffer(b"".join(found), dtype="<u4"), np.cumsum(sizes) - sizes
+        own = sizes[which]
+        last = np.concatenate([[0], np.cumsum(own)])
+        ids = every[np.repeat(begins[which] - last[:-1], own) + np.arange(last[-1])]
+        per_text = last[cut.first]
+        starts = per_text + np.arange(many + 1)
+        out = np.full(len(ids) + many, end_id, dtype="<u4")
+        out[np.arange(len(ids)) + np.repeat(np.arange(many), np.diff(per_text))] = ids
+        return out, starts
 
 
 _encoders: dict[str, Encoder] = {}
@@ -181,17 +223,18 @@ def write(docs: DataFrame, tokenizer: str, end_id: int, parts: int | None = None
     order = [F.col("id").asc_nulls_last(), F.col("text").asc_nulls_first()]
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     ranged = rows.repartitionByRange(parts, order[0]).sortWithinPartitions(*order)
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, writer, path = TaskContext.get().partitionId(), None, ""
         encode = encoder(tokenizer)
         for batch in batches:
-            for doc_id, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
-                if writer is None:
-                    path = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.bin"
-                    writer = Writer(path, width(encode.vocabulary))
-                writer.add(doc_id, np.frombuffer(encode.ids(text.as_py() or "") + end, dtype="<u4"))
+            if writer is None and batch.num_rows:
+                path = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.bin"
+                writer = Writer(path, width(encode.vocabulary))
+            for block in textops.blocks(batch.column("text"), BLOCK):
+                ids, starts = encode.ids(block, end_id)
+                for k, doc_id in enumerate(batch.column("id").slice(block.first, len(starts) - 1).to_pylist()):
+                    writer.add(doc_id, ids[starts[k] : starts[k + 1]])
         if writer is not None:
             writer.close()
             made = {"part": [part], "path": [path], "n_docs": [len(writer.docs)], "n_ids": [writer.starts[-1]]}
