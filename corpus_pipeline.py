@@ -30,7 +30,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixed documents with the shard and slot they are written to."""
-    return sharding.sharded(docs, shards=16)
+    return sharding.sharded(docs, shards=16, written=True)
 
 
 STAGES = [("quality", filter_quality), ("near_dedup", dedup), ("decontamination", decontaminate), ("mixing", mix), ("sharding", shard)]

@@ -109,7 +109,7 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def set_table(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``node, items`` (the sorted set) of the wanted classes, from the text of one of their rows."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted.select("id"), "id", "left_semi")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(wanted.select("id").hint("merge"), "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -319,7 +319,8 @@ def deduplicated(docs: DataFrame, threshold: int = 75) -> DataFrame:
     kept = materialize(kept, "neardup-kept")
     own = [F.col(f"`{c}`") for c in docs.columns]
     row = docs.select(F.struct(*own).alias("row"), F.col("doc_id").alias("id"))
-    single = row.join(kept.filter("rows = 1"), "id", "left_semi")
+    # One plan at every size: the table of ids grows with the documents and is no broadcast.
+    single = row.join(kept.filter("rows = 1").hint("merge"), "id", "left_semi")
     order = Window.partitionBy("id").orderBy(F.crc32(F.coalesce(F.col("row.text"), F.lit(""))))
     several = row.join(kept.filter("rows > 1"), "id", "left_semi").withColumn("nth", F.row_number().over(order)).filter("nth = 1").drop("nth")
     return single.unionByName(several).unionByName(row.filter("id is null")).select("row.*")

@@ -123,8 +123,14 @@ def assign(documents: DataFrame, shards: int, replicas: int = REPLICAS, cells: i
     return joined.withColumn("slot", F.col("base") + F.col("rank") - F.col("low")).drop("c", "low", "high", "base", "rank", "cell", "draw")
 
 
-def sharded(docs: DataFrame, shards: int = 16, **options) -> DataFrame:
-    """The documents with ``shard`` and ``slot``; a column of one of these names gives way to the new one."""
-    rows = materialize(keyed(docs), "shard-rows")
+def sharded(docs: DataFrame, shards: int = 16, written: bool = False, **options) -> DataFrame:
+    """The documents with ``shard`` and ``slot``; a column of one of these names gives way to the new one.
+
+    ``docs`` is read twice and must be the same both times: it is copied first, unless it is ``written``
+    already.
+    """
+    rows = keyed(docs)
+    if not written:
+        rows = materialize(rows, "shard-rows")
     kept = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
     return assign(rows, shards, **options).select(*[F.col(f"row.`{c}`").alias(c) for c in kept], "shard", F.col("slot").cast("bigint").alias("slot"))
