@@ -21,6 +21,7 @@ are ordered by text; empty tables give no files; further columns are not read.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from array import array
@@ -143,8 +144,9 @@ class Encoder:
 
     For tokenizers that lower-case, split at white space and part letters from marks, as the one named here does: a
     text's ids are those of its pieces between spaces and line breaks, and a piece not seen before
-    can follow from its lower-case form or from the word before a comma or full stop. A block's
-    distinct pieces are looked up once each. At most ``most`` pieces are remembered.
+    can follow from its lower-case form or from the word before a comma or full stop. A piece with an
+    added token in it, in whatever casing, is encoded as it is: the library looks for those before it
+    lower-cases. A block's distinct pieces are looked up once each. At most ``most`` pieces are remembered.
     """
 
     def __init__(self, path: str, most: int = 1_000_000):
@@ -153,11 +155,14 @@ class Encoder:
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.vocabulary = self.tokenizer.get_vocab_size()
+        added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)", re.IGNORECASE)
         self.known: dict[bytes, bytes] = {}
 
-    @staticmethod
-    def base(piece: str) -> str:
+    def base(self, piece: str) -> str:
         """The lower-case word before a comma or full stop, which has the same ids."""
+        if self.added.search(piece):
+            return piece
         low = piece.lower() if piece.isascii() else piece
         if low[-1] in ",." and low[-2:-1].isalpha() and low[-2] < "\u0250":
             return low[:-1]

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import llm_cases as cases
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +63,16 @@ def test_token_files(spark):
     assert token_files.read(spark, token_files.write(docs.limit(0), PATH, end_id=1)).count() == 0
 
 
+def test_added_tokens_in_other_casings():
+    from tokenizers import Tokenizer
+
+    plain, encode = Tokenizer.from_file(PATH), token_files.Encoder(PATH)
+    texts = ["<|ENDOFTEXT|>", "<|endoftext|>", "A <|EndOfText|> b", "Up<|ENDOFTEXT|>To, <|STARTOFTEXT|>. x", "Up<|endoftext|>To. <|startoftext|>,", "É<|EndOfText|>É.", "<|EndOf Text|> <|ENDOFTEXT", "plain WORDS, here."]
+    ids, starts = encode.ids(next(iter(textops.blocks(pa.array(texts)))), 1)
+    for k, text in enumerate(texts):
+        assert ids[starts[k] : starts[k + 1]].tolist() == [*plain.encode(text, add_special_tokens=False).ids, 1], text
+
+
 def test_archives(spark):
     rng = cases.rng()
     big, small = "<p>" + cases.prose(rng, 400) + "</p>", "<p>tiny</p>"
