@@ -40,6 +40,7 @@ from sketchloom.session import materialize
 
 BLOCK = 2 << 20
 HELD = 1 << 20  # keys a task sums up before it sends them
+SHARD_BYTES = 32 << 20  # of text a shard: its pieces are summed up in one task
 END, BEGIN = np.uint64(0x8A5CD789635D2DFF), np.uint64(0x121FD2155C472F96)
 _UNSHIFT = (31, 27, 30)
 _UNTIMES = (pow(0x94D049BB133111EB, -1, 1 << 64), pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
@@ -127,7 +128,7 @@ def write_arrays(uri: str, *arrays: np.ndarray) -> None:
             out.write(np.ascontiguousarray(a).data if a.nbytes else b"")
 
 
-@functools.lru_cache(maxsize=4096)
+@functools.lru_cache(maxsize=1 << 14)
 def _mapped(uri: str) -> np.ndarray:
     path = files.local_path(uri)
     if path is not None:
@@ -253,11 +254,17 @@ def _text(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.col(text_col).alias("text"))
 
 
+def shards_of(texts: DataFrame) -> int:
+    """Shards grow with the input, so that what one of them holds does not."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(16, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
+
+
 def fit(docs: DataFrame, text_col: str = "text") -> Model:
     spark = docs.sparkSession
-    shards = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     folder = files.new_folder(spark, "lm")
     texts = _text(docs, text_col)
+    shards = shards_of(texts)
 
     def word_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = Tally(shards)

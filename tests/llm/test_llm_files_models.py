@@ -131,6 +131,21 @@ def test_language_id(spark):
     assert langid.predict(docs.limit(0), model).count() == 0
 
 
+def test_shards_grow_with_the_input(spark, monkeypatch):
+    rng = cases.rng()
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(cases.texts(rng))], "doc_id bigint, text string")
+
+    def scores():
+        model = knlm.fit(docs)
+        return model.bigrams.shards, sorted((r.doc_id, r.score) for r in knlm.scored(docs, model, keep=["doc_id"]).collect())
+
+    few, plain = scores()
+    size = sum(len((r.text or "").encode()) for r in docs.collect())
+    monkeypatch.setattr(knlm, "SHARD_BYTES", size // 100, raising=False)
+    many, same = scores()
+    assert few < 100 <= many <= 101 and [s for _, s in same] == pytest.approx([s for _, s in plain])
+
+
 def test_mix_is_inverted():
     x = np.random.default_rng(0).integers(0, 1 << 63, 1000, dtype=np.uint64)
     assert (knlm.unmixed(textops.mixed(x)) == x).all()
