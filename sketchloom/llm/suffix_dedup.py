@@ -201,10 +201,16 @@ ANSWER = pa.schema([("grp", pa.int32()), ("block", pa.int32()), ("bucket", pa.in
 
 
 def answered(bucket: pa.Table) -> pa.Table:
-    """Sort a bucket's names and compare neighbours: does a name recur, which entry is first, is any flagged?"""
-    names = [textops.from_planes(n.as_buffer()) for n in bucket["names"]]
+    """Sort a bucket's names and compare neighbours: does a name recur, which entry is first, is any flagged?
+
+    The first is that of the least block, in whatever order rows arrive: a task that runs again elects the same entry.
+    """
+    group, block = bucket["grp"].to_numpy(), bucket["block"].to_numpy()
+    turn = np.lexsort((block, group))
+    packed, marks = list(bucket["names"]), list(bucket["flags"])
+    names = [textops.from_planes(packed[k].as_buffer()) for k in turn]
     sizes = np.array([len(n) for n in names])
-    flags = [np.unpackbits(np.frombuffer(f.as_buffer(), dtype=np.uint8), count=k).astype(bool) if len(f.as_buffer()) else np.zeros(k, dtype=bool) for f, k in zip(bucket["flags"], sizes.tolist(), strict=True)]
+    flags = [np.unpackbits(np.frombuffer(f.as_buffer(), dtype=np.uint8), count=k).astype(bool) if len(f.as_buffer()) else np.zeros(k, dtype=bool) for f, k in zip([marks[k] for k in turn], sizes.tolist(), strict=True)]
     every, flag = np.concatenate(names), np.concatenate(flags)
     order = np.argsort(every, kind="stable")
     ordered = every[order]
@@ -217,7 +223,7 @@ def answered(bucket: pa.Table) -> pa.Table:
     out[order] = bits
     cuts = np.concatenate([[0], np.cumsum(sizes)])
     parts = [out[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-    return pa.Table.from_arrays([bucket["grp"], bucket["block"], bucket["bucket"], pa.array(parts, pa.binary())], schema=ANSWER)
+    return pa.Table.from_arrays([pa.array(group[turn]), pa.array(block[turn]), bucket["bucket"], pa.array(parts, pa.binary())], schema=ANSWER)
 
 
 def answer_files(blocks: DataFrame, uris: list[str], buckets: int) -> str:

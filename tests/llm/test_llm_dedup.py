@@ -5,6 +5,7 @@ from collections import Counter
 
 import llm_cases as cases
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sketchloom.llm import neardup, suffix_dedup, textops
@@ -110,6 +111,21 @@ def test_near_dedup_cases(spark):
     assert neardup.deduplicated(docs.limit(0)).count() == 0 and suffix_dedup.deduplicated(docs.limit(0)).count() == 0
 
 
+def test_elected_entry_does_not_depend_on_arrival():
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 1 << 63, 50, dtype=np.uint64)
+    rows = []
+    for group, block in ((0, 0), (0, 1), (1, 0), (2, 3)):
+        names = np.sort(rng.choice(pool, 20, replace=False))
+        rows.append({"grp": group, "block": block, "bucket": 7, "names": textops.planes(names), "flags": np.packbits(names % 5 == 0).tobytes() if block else b""})
+    schema = pa.schema([("grp", pa.int32()), ("block", pa.int32()), ("bucket", pa.int32()), ("names", pa.binary()), ("flags", pa.binary())])
+
+    def bits(some):
+        return {(r["grp"], r["block"]): (r["bucket"], r["bits"]) for r in suffix_dedup.answered(pa.Table.from_pylist(some, schema)).to_pylist()}
+
+    assert bits(rows) == bits(rows[::-1]) == bits([rows[k] for k in (2, 0, 3, 1)])
+
+
 def test_estimate_follows_similarity(spark):
     rng = np.random.default_rng(3)
     for share in (0.3, 0.75, 0.95):
