@@ -9,7 +9,7 @@ by the base rule (too short, or mostly repeated words).
 A concentration step is one aggregation of all rows: sums of values and products by group and by
 the logarithmic bin of the distance. Rows combine map-side into a few hundred bins per group, so a
 group that holds a third of the corpus costs no more than another, and only bins reach the step
-that picks the ``h`` nearest. Variances have floors (a regularised estimate): a share that is 0 in
+that picks the ``h`` nearest. Constants are added to variances (a regularised estimate): a share that is 0 in
 nearly every document would otherwise make any other value an outlier.
 
 Defined cases: null text has no words and fails the base rule; null language or source is a group
@@ -38,7 +38,7 @@ from sketchloom.session import materialize
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks"]
 
-# Feature, and the least standard deviation it is given.
+# Feature, and the standard deviation whose square is added to its variance.
 FEATURES = {"word_length": 0.12, "symbols": 0.15, "dup_lines": 0.08, "repeats": 0.1, "upper": 0.1, "marks": 0.08}
 P = len(FEATURES)
 
