@@ -275,6 +275,11 @@ def beside_hub(members: DataFrame, hubs: DataFrame, tested: DataFrame) -> DataFr
 
 def components(docs: DataFrame, threshold: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``id, n_shingles, component_id``."""
+    return classed(docs, threshold, id_col, text_col).select("id", "n_shingles", "component_id")
+
+
+def classed(docs: DataFrame, threshold: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The components with each document's class ``node`` and the component's ``label``, which no other has; null if empty."""
     rows = materialize(signed(docs, id_col, text_col), "neardup-signed")
     linked = rows.filter(F.col("node").isNotNull() & F.col("id").isNotNull())
     least = linked.groupBy("node").agg(F.min("id").alias("least"))
@@ -303,24 +308,48 @@ def components(docs: DataFrame, threshold: int = 75, id_col: str = "doc_id", tex
         members = materialize(current, "neardup-members")
         many *= 16
     full = classes.select("node", "id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = full.join(full.groupBy("label").agg(F.min("id").alias("component_id")), "label").select(F.col("node").alias("c"), "component_id")
+    named = full.join(full.groupBy("label").agg(F.min("id").alias("component_id")), "label").select(F.col("node").alias("c"), "component_id", "label")
     done = rows.select("id", "n_shingles", "node").join(named, F.col("node") == F.col("c"), "left")
-    return done.select("id", "n_shingles", F.when(F.col("node").isNull() | F.col("id").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    own = F.when(F.col("node").isNull() | F.col("id").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    return done.select("id", "n_shingles", own.alias("component_id"), "node", "label")
+
+
+def nodes_of(rows: DataFrame) -> DataFrame:
+    """``rows(id, digest, text)`` to ``id, digest, node``."""
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in textops.blocks(batch.column("text")):
+                many = len(block.offsets) - 1
+                own = [batch.column(c).slice(block.first, many) for c in ("id", "digest")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(digests(*sets_of(block)), pa.binary())], ["id", "digest", "node"])
+
+    return rows.select("id", "digest", "text").mapInArrow(run, f"id {kind}, digest string, node binary")
 
 
 def deduplicated(docs: DataFrame, threshold: int = 75) -> DataFrame:
     """The document of each component with the least id, with its own columns.
 
-    Of several rows of that id the one with the least text checksum stays. Only rows of repeated ids
-    are ordered for that; rows with a null id all stay.
+    Rows of one id are told apart by their class: those in other components than the id's own go, and
+    of several in one component, or without words, the one with the least text checksum stays. Only rows
+    of repeated ids are read for that; rows with a null id all stay.
     """
-    found = materialize(components(docs, threshold), "neardup-found")
-    kept = found.filter(F.col("id") == F.col("component_id")).groupBy("id").agg(F.count(F.lit(1)).alias("rows"))
-    kept = materialize(kept, "neardup-kept")
+    found = materialize(classed(docs, threshold), "neardup-found")
+    leads = F.max(F.col("id") == F.col("component_id")).alias("leads")
+    kept = found.filter(F.col("id").isNotNull()).groupBy("id").agg(F.count(F.lit(1)).alias("rows"), leads)
+    kept = materialize(kept.filter("leads").drop("leads"), "neardup-kept")
     own = [F.col(f"`{c}`") for c in docs.columns]
     row = docs.select(F.struct(*own).alias("row"), F.col("doc_id").alias("id"))
     # One plan at every size: the table of ids grows with the documents and is no broadcast.
     single = row.join(kept.filter("rows = 1").hint("merge"), "id", "left_semi")
-    order = Window.partitionBy("id").orderBy(F.crc32(F.coalesce(F.col("row.text"), F.lit(""))))
-    several = row.join(kept.filter("rows > 1"), "id", "left_semi").withColumn("nth", F.row_number().over(order)).filter("nth = 1").drop("nth")
+    repeated = kept.filter("rows > 1").select("id")
+    text, empty = F.coalesce(F.col("row.text"), F.lit("")), F.lit(bytearray())
+    rows = row.join(repeated, "id", "left_semi").withColumn("digest", F.sha2(text, 256))
+    won = found.filter(F.col("id") == F.col("component_id")).join(repeated, "id", "left_semi")
+    won = won.select("id", F.coalesce("node", empty).alias("node"), F.coalesce("label", empty).alias("label")).distinct()
+    nodes = nodes_of(rows.select("id", "digest", text.alias("text"))).withColumn("node", F.coalesce("node", empty)).distinct()
+    labelled = materialize(nodes.join(won, ["id", "node"]).select("id", "digest", "label"), "neardup-labelled")
+    order = Window.partitionBy("id", "label").orderBy(F.crc32(F.coalesce(F.col("row.text"), F.lit(""))))
+    several = rows.join(labelled, ["id", "digest"]).withColumn("nth", F.row_number().over(order)).filter("nth = 1").select("row", "id")
     return single.unionByName(several).unionByName(row.filter("id is null")).select("row.*")

@@ -111,6 +111,20 @@ def test_near_dedup_cases(spark):
     assert neardup.deduplicated(docs.limit(0)).count() == 0 and suffix_dedup.deduplicated(docs.limit(0)).count() == 0
 
 
+def test_near_dedup_of_ids_with_several_texts(spark):
+    first, second, third = (" ".join(f"{c}{k}" for k in range(40)) for c in "abc")
+    rows = [(5, first), (5, second), (5, second), (5, second + " end"), (7, first + " end"), (7, third), (3, third + " end"), (9, None), (9, ""), (9, "one two")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 as label", "'x' as digest").repartition(3)
+    kept = neardup.deduplicated(docs)
+    got = sorted((r.doc_id, r.text or "") for r in kept.collect())
+    # Both texts of 5 stay, one row of each component; of 7 nothing, as its texts are near 5 and 3.
+    assert kept.columns == docs.columns and [i for i, _ in got] == [3, 5, 5, 9, 9]
+    assert (5, first) in got and [t for i, t in got if i == 5 and t.startswith("b")] and (9, "one two") in got
+    rows = [(1, first), (2, first + " end"), (2, second)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.text) for r in neardup.deduplicated(docs).collect()) == [(1, first), (2, second)]
+
+
 def test_elected_entry_does_not_depend_on_arrival():
     rng = np.random.default_rng(5)
     pool = rng.integers(0, 1 << 63, 50, dtype=np.uint64)
