@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sketchloom.llm import decontam, knlm, langid, mixing, neardup, quality, sharding, suffix_dedup, token_files, warc
+from sketchloom.llm import audits, decontam, knlm, langid, mixing, neardup, quality, sharding, suffix_dedup, token_files, warc
 from sketchloom.session import materialize
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**audits.QUERIES}
+SQL: dict[str, str] = {**audits.SQL}
 
 
 def register(query):
