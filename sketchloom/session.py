@@ -57,7 +57,22 @@ def materialize(df: DataFrame, tag: str = "table") -> DataFrame:
     path = os.path.join(scratch_dir(spark), f"{tag}-{uuid.uuid4().hex}")
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    table = spark.read.schema(schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that :func:`materialize` wrote, once nothing lazy reads them any more; others are left alone.
+
+    For loops that replace a table in every round: a lost executor re-reads the current ones only.
+    """
+    for table in tables:
+        place = getattr(table, "stored_at", None)
+        if place:
+            spark = table.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(place)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def deal_out(df: DataFrame) -> DataFrame:
