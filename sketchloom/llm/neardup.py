@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sketchloom.llm import textops
-from sketchloom.session import materialize
+from sketchloom.session import discard, materialize
 
 HASHES, BANDS, BITS = 128, 32, 2
 PER_BAND = HASHES // BANDS
@@ -184,6 +184,7 @@ def join_components(labels: DataFrame, links: DataFrame) -> DataFrame:
     edges = materialize(edges, "neardup-edges")
     moved = None
     while not edges.isEmpty():
+        replaced = [edges] if moved is None else [edges, moved]
         # Every label goes to its least neighbour, where that is less; links are then drawn anew.
         best = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"))).groupBy("x").agg(F.min("y").alias("to")).filter(F.col("to") < F.col("x"))
         if moved is None:
@@ -197,10 +198,14 @@ def join_components(labels: DataFrame, links: DataFrame) -> DataFrame:
             after = after.join(best.withColumnsRenamed({"x": side, "to": f"{side}to"}), side, "left").withColumn(f"n{side}", F.coalesce(f"{side}to", side)).drop(f"{side}to")
         after = after.filter("nx <> ny").select(F.greatest("nx", "ny").alias("x"), F.least("nx", "ny").alias("y")).distinct()
         edges = materialize(after, "neardup-edges")
+        discard(*replaced)
+    discard(edges)
     if moved is None:
         return labels
     new = labels.join(moved.withColumnRenamed("x", "label"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-    return materialize(new, "neardup-labels")
+    new = materialize(new, "neardup-labels")
+    discard(moved, labels)
+    return new
 
 
 def next_hubs(members: DataFrame, many: int) -> DataFrame:
@@ -255,6 +260,7 @@ def within_reach(members: DataFrame, sets: DataFrame, threshold: int) -> DataFra
     alone = materialize(alone.groupBy("node").agg(F.count(F.lit(1)).alias("alone")), "neardup-alone")
     solid = members.drop("solid").join(alone, "node", "left").withColumn("solid", F.col("n_shingles") - F.coalesce("alone", F.lit(0))).drop("alone")
     solid = materialize(solid, "neardup-solid")
+    discard(alone)
     least = solid.groupBy("key").agg(F.min("n_shingles").alias("least"))
     reach = 100 * F.col("solid") >= threshold * (F.col("n_shingles") + F.greatest("least", "solid") - F.col("solid"))
     return solid.join(least, "key").filter(reach).drop("least")
@@ -293,6 +299,7 @@ def classed(docs: DataFrame, threshold: int = 75, id_col: str = "doc_id", text_c
     labels = seen.select("node", F.col("node").alias("label"))
     turned = sharing.drop("id", "many").join(seen.select("node", F.struct((-F.col("seen")).alias("seen"), "node").alias("turn")), "node")
     members = materialize(turned.withColumns({"label": F.col("node"), "solid": F.col("n_shingles"), "met": F.lit(False)}), "neardup-members")
+    discard(sharing)
     many = 1
     while not members.isEmpty():
         hubs = materialize(next_hubs(members, many), "neardup-hubs")
@@ -301,12 +308,15 @@ def classed(docs: DataFrame, threshold: int = 75, id_col: str = "doc_id", text_c
         last = hubs.groupBy("h_key").agg(F.max("h_turn").alias("last"))
         current = members.drop("label").join(labels, "node").join(last, F.col("key") == F.col("h_key"), "left")
         current = split(current.withColumn("met", F.col("met") | F.coalesce(F.col("turn") <= F.col("last"), F.lit(False))).drop("h_key", "last"))
+        between = []
         if many == 1:
-            current = within_reach(materialize(current, "neardup-members"), sets, threshold)
-            current = split(materialize(beside_hub(current, hubs, tested), "neardup-beside"))
-            current = current.join(classes.select("node", "bands"), "node")
-        members = materialize(current, "neardup-members")
+            between = [materialize(current, "neardup-members")]
+            between.append(materialize(beside_hub(within_reach(between[0], sets, threshold), hubs, tested), "neardup-beside"))
+            current = split(between[1]).join(classes.select("node", "bands"), "node")
+        before, members = members, materialize(current, "neardup-members")
+        discard(before, hubs, tested, *between)
         many *= 16
+    discard(members, sets)
     full = classes.select("node", "id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = full.join(full.groupBy("label").agg(F.min("id").alias("component_id")), "label").select(F.col("node").alias("c"), "component_id", "label")
     done = rows.select("id", "n_shingles", "node").join(named, F.col("node") == F.col("c"), "left")
@@ -341,9 +351,12 @@ def deduplicated(docs: DataFrame, threshold: int = 75) -> DataFrame:
     kept = materialize(kept.filter("leads").drop("leads"), "neardup-kept")
     own = [F.col(f"`{c}`") for c in docs.columns]
     row = docs.select(F.struct(*own).alias("row"), F.col("doc_id").alias("id"))
-    # One plan at every size: the table of ids grows with the documents and is no broadcast.
+    # The table of ids grows with the documents and is no broadcast.
     single = row.join(kept.filter("rows = 1").hint("merge"), "id", "left_semi")
+    result = single.unionByName(row.filter("id is null"))
     repeated = kept.filter("rows > 1").select("id")
+    if repeated.isEmpty():  # a table that is written already; without such ids the texts need not be moved again
+        return result.select("row.*")
     text, empty = F.coalesce(F.col("row.text"), F.lit("")), F.lit(bytearray())
     rows = row.join(repeated, "id", "left_semi").withColumn("digest", F.sha2(text, 256))
     won = found.filter(F.col("id") == F.col("component_id")).join(repeated, "id", "left_semi")
@@ -352,4 +365,4 @@ def deduplicated(docs: DataFrame, threshold: int = 75) -> DataFrame:
     labelled = materialize(nodes.join(won, ["id", "node"]).select("id", "digest", "label"), "neardup-labelled")
     order = Window.partitionBy("id", "label").orderBy(F.crc32(F.coalesce(F.col("row.text"), F.lit(""))))
     several = rows.join(labelled, ["id", "digest"]).withColumn("nth", F.row_number().over(order)).filter("nth = 1").select("row", "id")
-    return single.unionByName(several).unionByName(row.filter("id is null")).select("row.*")
+    return result.unionByName(several).select("row.*")
