@@ -51,9 +51,10 @@ from sketchloom.streaming import containment as streaming
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-# Containment a result must reach in the thresholded queries, and the link strength of clusters.
+# Containment a result must reach in the thresholded queries, the link strength of clusters, and that of near copies.
 LEAST = 0.05
 LINK = 0.05
+NEAR = 0.5
 THRESHOLDS = [round(at * 0.6 / 49, 9) for at in range(49, -1, -1)]
 
 
@@ -314,6 +315,24 @@ def _clusters(spark, folder) -> DataFrame:
     return cluster.cluster_sketches(_sketches(spark, folder), t.N, LINK, names=_names(spark, folder))
 
 
+@register
+def similar_pairs(spark, folder):
+    """The cells of the Jaccard matrix that reach the link strength in a direction, by the prefix-filtered join."""
+    table = similarity.jaccard_matrix(_sketches(spark, folder), t.N, LINK)
+    return table.select("name_i", "name_j", r9("jaccard_ij").alias("jaccard_ij"), r9("jaccard_ji").alias("jaccard_ji"))
+
+
+@register
+def similar_count_pairs(spark, folder):
+    table = similarity.jaccard_count_matrix(_sketches(spark, folder), t.N, NEAR)
+    return table.select("name_i", "name_j", r9("cell_ij").alias("cell_ij"), r9("cell_ji").alias("cell_ji"))
+
+
+@register
+def joined_clusters(spark, folder):
+    return cluster.cluster_sketches(_sketches(spark, folder), t.N, NEAR, names=_names(spark, folder), joined=True)
+
+
 @register
 def cluster_components(spark, folder):
     return _clusters(spark, folder)

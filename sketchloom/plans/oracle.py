@@ -162,8 +162,9 @@ cell as (select x.a as i, x.b as j, x.common as common_ij, y.common as common_ji
   from agg x join agg y on x.a = y.b and x.b = y.a where x.a <= x.b)"""
 
 
-CLUSTERS = f"""
-lk as (select i, j from cell where i < j and (common_ij / size_i >= {c.LINK} or common_ji / size_j >= {c.LINK})),
+def clusters(link: float = c.LINK) -> str:
+    return f"""
+lk as (select i, j from cell where i < j and (common_ij / size_i >= {link} or common_ji / size_j >= {link})),
 both_ways as (select i, j from lk union select j, i from lk),
 reach(name, seen) as (select name, name from re group by name
   union select reach.name, both_ways.j from reach join both_ways on both_ways.i = reach.seen),
@@ -171,6 +172,9 @@ label as (select name, min(seen) as cluster from reach group by name),
 cl as (select cp.name, label.cluster from cp join label on cp.representative = label.name
   union all select cast(doc_id as varchar), cast(doc_id as varchar) from documents where cast(doc_id as varchar) not in (select name from cp))"""
 
+
+CLUSTERS = clusters()
+
 LINEAGE = """
 lin as (select cast(doc_id as varchar) as name, 'k__' || lang || '_' || upper(lang) as l1,
   'g__' || lang || '-' || source || '_' || source as l2, 's__d' || doc_id || '_doc_' || doc_id as l3,
@@ -350,6 +354,11 @@ def oracle() -> dict[str, str]:
             round(common_ji / size_j, 9) as jaccard_ji from cell where common_ij > 0 or common_ji > 0""",
         "jaccard_count_matrix": f"""with {pairs()} select i as name_i, j as name_j, round(mass_j / total_j, 9) as cell_ij,
             round(mass_i / total_i, 9) as cell_ji from cell where common_ji > 0""",
+        "similar_pairs": f"""with {pairs()} select i as name_i, j as name_j, round(common_ij / size_i, 9) as jaccard_ij,
+            round(common_ji / size_j, 9) as jaccard_ji from cell where common_ij / size_i >= {c.LINK} or common_ji / size_j >= {c.LINK}""",
+        "similar_count_pairs": f"""with {pairs()} select i as name_i, j as name_j, round(mass_j / total_j, 9) as cell_ij,
+            round(mass_i / total_i, 9) as cell_ji from cell where common_ji > 0 and (common_ij / size_i >= {c.NEAR} or common_ji / size_j >= {c.NEAR})""",
+        "joined_clusters": f"with recursive {pairs()}, {clusters(c.NEAR)} select name, cluster from cl",
         "cluster_components": f"with recursive {pairs()}, {CLUSTERS} select name, cluster from cl",
         "cluster_lca": f"with recursive {pairs()}, {CLUSTERS}, {LINEAGE}, {LCA} select cluster, size, lca from lca",
         "cluster_fasta_records": f"""with recursive {pairs()}, {CLUSTERS}, {LINEAGE}, {LCA}

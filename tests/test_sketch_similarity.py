@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sketchloom.operators import blocks, cluster, lookup, maintenance, similarity, sketch
+from sketchloom.operators import blocks, cluster, lookup, maintenance, similarity, simjoin, sketch
 from sketchloom.operators.sketch import SketchSpec
 from tests.conftest import dna, entries_of, flip, grams, sets
 
@@ -267,3 +267,22 @@ def test_cardinality(spark, rng):
 def test_sketch_plan_limits_before_the_shuffle(spark, rng):
     plan = sketch.bottom_n(sets(spark, {"a": dna(rng, 50)}), SketchSpec())._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "SortAggregate" not in plan.split("WindowGroupLimit")[-1]
+
+
+def test_similarity_join_equals_the_matrix(spark, rng, monkeypatch):
+    monkeypatch.setattr(simjoin, "LIST", 3)
+    data = random_sketches(rng, names=40, n=8, top=70)
+    data |= {f"hot{i}": {**{h: 1 for h in rng.sample(range(100, 130), 5)}, 7: 2} for i in range(12)} | {"copy": dict(data["n3"])}
+    entries = entries_of(spark, data).cache()
+    for limit in (4, 8):
+        full = {(r["name_i"], r["name_j"]): r for r in blocks.pair_table(entries.where("name <> 'copy'"), 52, limit).collect()}
+        for threshold in (0.05, 0.3, 0.5, 1.0):
+            got = simjoin.similar_pairs(entries.where("name <> 'copy'"), limit, threshold).collect()
+            wanted = {k: r for k, r in full.items() if max(r["common_ij"] / r["size_i"], r["common_ji"] / r["size_j"]) >= threshold}
+            assert {(r["name_i"], r["name_j"]): r for r in got} == wanted and len(got) == len(wanted)
+    for eps in (0.3, 0.6):
+        expected = by_name(cluster.cluster_sketches(entries, 8, eps), "cluster")
+        assert by_name(cluster.cluster_sketches(entries, 8, eps, joined=True), "cluster") == expected
+    assert simjoin.similar_pairs(entries.where("false"), 8, 0.5).count() == 0
+    with pytest.raises(ValueError):
+        simjoin.similar_pairs(entries, 8, 0.0)
