@@ -16,7 +16,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import functions as F
 
-from sketchloom.operators import blocks, cluster, maintenance, membership, multik, sketch, truth
+from sketchloom.operators import blocks, cluster, maintenance, membership, multik, sketch, superkmers
 from sketchloom.operators.sketch import SketchSpec
 from sketchloom.plans import tables as t
 from sketchloom.session import get_spark, materialize, scratch_dir
@@ -58,7 +58,7 @@ def main() -> None:
         "membership",
         lambda: rows(membership.query_membership(db.meta, db.entries, sample, spec, strand_neutral=True)),
     )
-    run("ground_truth", lambda: rows(truth.true_containment(truth.distinct_shingles(docs, [t.K]), truth.distinct_shingles(sample, [t.K]))))
+    run("ground_truth", lambda: rows(superkmers.containment(docs, sample, [t.K])))
     run("db_info", lambda: maintenance.info(db.meta).first())
     run("db_delete", lambda: rows(maintenance.delete(db, t.table(spark, folder, "labels").select(F.col("doc_id").cast("string").alias("name"))).entries))
     run("sketch_copies", lambda: rows(blocks.distinct_sketches(sketch.down_sample(db.entries, 200))))

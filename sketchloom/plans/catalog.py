@@ -22,6 +22,7 @@ from sketchloom.operators import (
     profile,
     similarity,
     sketch,
+    superkmers,
     taxonomy,
     truth,
 )
@@ -532,9 +533,14 @@ def stream_containment(spark, folder):
 
 
 def _truth(spark, folder) -> DataFrame:
-    training = truth.distinct_shingles(t.documents(spark, folder, dna=True), t.KS)
-    query = truth.distinct_shingles(t.benchmark(spark, folder, dna=True), t.KS)
-    return truth.true_containment(training, query)
+    return superkmers.containment(t.documents(spark, folder, dna=True), t.benchmark(spark, folder, dna=True), t.KS)
+
+
+@register
+def shingle_statistics(spark, folder):
+    """Occurrences of strand-neutral shingles per set and length, distinct ones, and those that occur once."""
+    table = superkmers.statistics(t.documents(spark, folder, dna=True), t.KS)
+    return table.select("name", big("k"), "total", "distinct", "single")
 
 
 @register

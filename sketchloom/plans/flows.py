@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sketchloom.functions.numbers import cap_k_range, clamp_location, expected_threshold
 from sketchloom.functions.seq import HASHERS
-from sketchloom.operators import maintenance, membership, multik, postprocess, taxonomy, truth
+from sketchloom.operators import maintenance, membership, multik, postprocess, superkmers, taxonomy, truth
 from sketchloom.operators.sketch import SketchSpec
 from sketchloom.session import materialize
 from sketchloom.sources import results as sink
@@ -147,9 +147,12 @@ def ground_truth(
     meta = import_database(spark, database).meta
     paths = [row["path"] for row in meta.select("path").toLocalIterator()]
     at = clamp_location(location, ks)
-    training = truth.distinct_shingles(read_sequences(spark, paths), ks)
-    asked = truth.distinct_shingles(read_sequences(spark, query), ks)
-    frame = multik.wide(truth.true_containment(training, asked), ks)
+    training, asked = read_sequences(spark, paths), read_sequences(spark, query)
+    if max(ks) <= superkmers.LONGEST:
+        exact = superkmers.containment(training, asked, ks)
+    else:
+        exact = truth.true_containment(truth.distinct_shingles(training, ks), truth.distinct_shingles(asked, ks))
+    frame = multik.wide(exact, ks)
     sink.write_results(multik.select_results(frame, ks, coverage, at), out)
 
 

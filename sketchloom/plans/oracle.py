@@ -257,6 +257,13 @@ gt as (select tr.name, tr.k, count(qr.kmer) as hits, count(*) as denom, count(qr
   from tr left join qr on qr.k = tr.k and qr.kmer = tr.kmer group by all)"""
 
 
+def shingle_statistics() -> str:
+    ctes = ",".join(grams(f"d{k}", DOCS_DNA, k, True) for k in KS)
+    counted = " union all ".join(f"select name, {k} as k, least(kmer, {rc('kmer')}) as kmer, count(*) as c from d{k}_g group by all" for k in KS)
+    return f"""with {ctes}, every as ({counted}) select name, cast(k as bigint) as k, cast(sum(c) as bigint) as total,
+        count(*) as distinct, count(*) filter (c = 1) as single from every group by name, k"""
+
+
 # -- profiles ------------------------------------------------------------------------------------
 
 
@@ -389,6 +396,7 @@ def oracle() -> dict[str, str]:
         "postprocess_containment": f"""with {multi()}, {SPECIFIC} select name, cast(k as bigint) as k, hits,
             cast(denom as bigint) as denom, round(hits / denom, 9) as ci from post""",
         "ground_truth": f"with {exact()} {CT.format('gt')}",
+        "shingle_statistics": shingle_statistics(),
         "ground_truth_intersection": f"""with {exact()} select cast(k as bigint) as k, count(*) as kmers, min(kmer) as first_kmer,
             max(kmer) as last_kmer from (select distinct k, kmer from tr intersect select k, kmer from qr) group by k""",
         "truth_error_stats": f"""with {multi()}, {exact()},
