@@ -9,16 +9,11 @@ one join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sketchloom.functions.seq import PIECE, explode_pieces, reverse_complement, windows
-from sketchloom.operators.membership import distinct_hits
-from sketchloom.session import BROADCAST_ROWS, materialize
-
-
-# Up to this many lookup rows it pays to look for a small set of starts.
-GATED_ROWS = 4 * BROADCAST_ROWS
+from sketchloom.session import materialize
 
 
 def _prefixes(ks: list[int], text: Column, most: Column | None = None) -> Column:
@@ -55,7 +50,9 @@ def prefilter(index: DataFrame) -> DataFrame:
 
 
 def lookup_table(index: DataFrame, first_k: int, ksize: int | None = None) -> DataFrame:
-    """``(k, query, target)``: the key that a sample shingle ``query`` leads to; unique on (k, query).
+    """``(k, query, target, chain)``: the key that a sample shingle ``query`` leads to; unique on (k, query).
+
+    ``chain`` has ``(k, target)`` of every query that this one starts with, itself included.
 
     A shingle longer than ``first_k`` must also start with a shingle of the prefilter at ``first_k``.
     At ``ksize``, the length the database was sketched at, both strands of every shingle are keys
@@ -74,61 +71,80 @@ def lookup_table(index: DataFrame, first_k: int, ksize: int | None = None) -> Da
         .drop("gate")
         .join(forward.select("k", "query"), ["k", "query"], "left_anti")
     )
-    return forward.union(flipped)
+    return _chained(materialize(forward.union(flipped), "queries"))
+
+
+def _chained(lookup: DataFrame) -> DataFrame:
+    lengths = [row["k"] for row in lookup.select("k").distinct().collect()]
+    heads = lookup.select("k", "query", "target", F.explode(_prefixes(lengths, F.col("query"), F.col("k"))).alias("p"))
+    held = lookup.select(F.col("k").alias("hk"), F.col("query").alias("head"), F.col("target").alias("to"))
+    met = heads.join(held, (F.col("p.k") == F.col("hk")) & (F.col("p.prefix") == F.col("head")))
+    chain = F.array_sort(F.collect_list(F.struct(F.col("hk").alias("k"), F.col("to").alias("target"))))
+    return met.groupBy("k", "query", "target").agg(chain.alias("chain"))
+
+
+def sample_windows(sequences: DataFrame, ks: list[int], uppercase: bool = True, piece: int = PIECE) -> DataFrame:
+    """One row ``(gate, span)`` per sample position: its longest window and the start that every length shares."""
+    cut = explode_pieces(sequences, max(ks) - 1, piece, uppercase)
+    spans = cut.select(F.explode(windows("piece", min(ks), max(ks))).alias("span"))
+    return spans.select(F.substring("span", 1, min(ks)).alias("gate"), "span")
+
+
+def gates(lookup: DataFrame, ks: list[int]) -> DataFrame:
+    return lookup.select(F.substring("query", 1, min(ks)).alias("gate")).distinct()
 
 
 def sample_prefixes(
     sequences: DataFrame, ks: list[int], lookup: DataFrame, uppercase: bool = True, piece: int = PIECE
 ) -> DataFrame:
-    """One row ``(k, query)`` per sample position and length that fits there.
-
-    Positions whose shortest shingle starts no lookup are dropped before the longer ones are made,
-    as long as the set of those starts is small enough to send to the scan.
-    """
-    first_k, last_k = min(ks), max(ks)
-    cut = explode_pieces(sequences, last_k - 1, piece, uppercase)
-    spans = cut.select(F.explode(windows("piece", first_k, last_k)).alias("span"))
-    if lookup.count() <= GATED_ROWS:
-        gate = lookup.select(F.substring("query", 1, first_k).alias("gate")).distinct()
-        if gate.count() <= BROADCAST_ROWS:
-            spans = spans.withColumn("gate", F.substring("span", 1, first_k))
-            spans = spans.join(F.broadcast(gate), "gate", "left_semi")
+    """One row ``(k, query)`` per sample position and length that fits there, for positions whose start is in the lookup."""
+    spans = sample_windows(sequences, ks, uppercase, piece).join(gates(lookup, ks), "gate", "left_semi")
     return spans.select(F.explode(_prefixes(ks, F.col("span"), F.length("span"))).alias("p")).select(
         "p.k", F.col("p.prefix").alias("query")
     )
 
 
+def targets_of(spans: DataFrame, lookup: DataFrame, ks: list[int]) -> DataFrame:
+    """Distinct ``(k, key)`` that some window of the sample leads to; ``spans`` as :func:`sample_windows` gives them.
+
+    Windows and queries are sorted together inside their common start. The greatest query up to a window has every
+    query that the window starts with as a prefix, as has all that lies between the two.
+    """
+    asked = spans.distinct().join(gates(lookup, ks), "gate", "left_semi")
+    none = F.lit(None).cast(lookup.schema["chain"].dataType)
+    keys = lookup.select(F.substring("query", 1, min(ks)).alias("gate"), F.col("query").alias("span"), "chain")
+    both = keys.unionByName(asked.withColumn("chain", none))
+    before = Window.partitionBy("gate").orderBy("span", F.col("chain").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    key = F.when(F.col("chain").isNotNull(), F.struct("span", "chain"))
+    met = both.withColumn("near", F.last(key, ignorenulls=True).over(before)).where("chain is null and near is not null")
+    shared = lambda x: F.col("span").substr(F.lit(1), x["k"]) == F.col("near.span").substr(F.lit(1), x["k"])
+    found = F.filter("near.chain", lambda x: x["k"].isin(ks) & (x["k"] <= F.length("span")) & shared(x))
+    return met.select(F.explode(found).alias("t")).select("t.k", F.col("t.target").alias("key")).distinct()
+
+
 def matches(sequences: DataFrame, index: DataFrame, lookup: DataFrame, ks: list[int], uppercase: bool = True) -> DataFrame:
     """``(name, k, slot, prefix)`` for every index entry that some sample shingle leads to."""
-    queries = sample_prefixes(sequences, ks, lookup, uppercase)
-    targets = distinct_hits(queries, lookup, ["k", "query"]).select("k", F.col("target").alias("key")).distinct()
+    targets = targets_of(sample_windows(sequences, ks, uppercase), lookup, ks)
     return index.join(targets, ["k", "key"], "left_semi").select("name", "k", "slot", "prefix").distinct()
 
 
 def matches_once(
     sequences: DataFrame, entries: DataFrame, ks: list[int], ksize: int | None = None, uppercase: bool = True
 ) -> DataFrame:
-    """The same matches without a stored index, for one sample of moderate size.
+    """The same matches without a stored index.
 
     The sample's distinct shingles and their reverse complements filter the index entries while
     these are being made, so that lookup table and gate are those of the few entries concerned: a
     shingle's start at the shortest length is itself a shingle of the sample, hence the gate sees all
-    the keys it would see in the whole index. A sample beyond the broadcast bound gets the index.
+    the keys it would see in the whole index.
     """
-    cut = explode_pieces(sequences, max(ks) - 1, PIECE, uppercase)
-    spans = cut.select(F.explode(windows("piece", min(ks), max(ks))).alias("span"))
+    spans = materialize(sample_windows(sequences, ks, uppercase).distinct(), "asked")
     asked = spans.select(F.explode(_prefixes(ks, F.col("span"), F.length("span"))).alias("p"))
-    asked = materialize(asked.select("p.k", F.col("p.prefix").alias("query")).distinct(), "asked")
-    if asked.count() > BROADCAST_ROWS // 2:
-        index, lookup = prepare(entries, ks, ksize)
-    else:
-        strands = F.explode(F.array(F.col("query"), reverse_complement("query"))).alias("key")
-        near = asked.select("k", strands).distinct()
-        index = prefix_index(entries, ks).join(F.broadcast(near), ["k", "key"], "left_semi")
-        index = materialize(index, "near-index")
-        lookup = lookup_table(index, min(ks), ksize)
-    targets = asked.join(lookup, ["k", "query"]).select("k", F.col("target").alias("key")).distinct()
-    return index.join(targets, ["k", "key"], "left_semi").select("name", "k", "slot", "prefix").distinct()
+    strands = F.explode(F.array(F.col("p.prefix"), reverse_complement("p.prefix"))).alias("key")
+    near = asked.select("p.k", strands).distinct()
+    index = materialize(prefix_index(entries, ks).join(near, ["k", "key"], "left_semi"), "near-index")
+    lookup = materialize(lookup_table(index, min(ks), ksize), "near-lookup")
+    return index.join(targets_of(spans, lookup, ks), ["k", "key"], "left_semi").select("name", "k", "slot", "prefix").distinct()
 
 
 def hits(found: DataFrame) -> DataFrame:

@@ -132,7 +132,7 @@ def load_index(spark: SparkSession, database: str, ks: list[int]) -> tuple[DataF
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{database}.index/lookup")
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return None
-    lookup = spark.read.schema("query string, target string, k int").parquet(f"{database}.index/lookup")
+    lookup = spark.read.schema("query string, target string, chain array<struct<k:int,target:string>>, k int").parquet(f"{database}.index/lookup")
     held = sorted(row["k"] for row in lookup.select("k").distinct().collect())
     if not set(ks) <= set(held) or min(ks) != min(held):
         raise ValueError(f"the written index holds the lengths {held}; {sorted(ks)} need one that begins at {min(ks)} and has them all")

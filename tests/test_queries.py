@@ -144,11 +144,26 @@ def test_membership_beyond_the_broadcast_bound(spark, rng, monkeypatch):
     grams_of = membership.sample_grams(sample, spec)
     near = sorted(membership.sketch_hits(entries, grams_of, spec).collect())
     found = sorted(multik.matches_once(sample, entries, KS).collect())
-    for module in (membership, multik):
-        monkeypatch.setattr(module, "BROADCAST_ROWS", 1)
-    monkeypatch.setattr(multik, "GATED_ROWS", 1)
-    assert sorted(membership.sketch_hits(entries, grams_of, spec).collect()) == near
-    assert sorted(multik.matches_once(sample, entries, KS).collect()) == found
+    monkeypatch.setattr(membership, "BROADCAST_ROWS", 1)
+    bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(membership.sketch_hits(entries, grams_of, spec).collect()) == near
+        assert sorted(multik.matches_once(sample, entries, KS).collect()) == found
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+
+
+def test_all_lengths_follow_from_the_neighbour(spark, rng):
+    """Queries of several lengths inside each other, windows that end early, letters that are no base."""
+    ks = [2, 3, 5]
+    texts = {dna(rng, k) for k in ks for _ in range(14)} | {"AC", "ACG", "ACGTA", "ACGTT", "NNACG", "TT"}
+    lookup = multik._chained(spark.createDataFrame([(len(x), x, x + "!") for x in texts], "k int, query string, target string"))
+    spans = {dna(rng, n) for n in (2, 3, 4, 5) for _ in range(30)} | {"ACGTN", "ACG", "NNACG", "AC", "ZZ", "TTTTT"}
+    table = spark.createDataFrame([(x[:2], x) for x in spans], "gate string, span string")
+    for some in (ks, [2, 5]):
+        got = {(r["k"], r["key"]) for r in multik.targets_of(table, lookup, some).collect()}
+        assert got == {(k, x[:k] + "!") for x in spans for k in some if len(x) >= k and x[:k] in texts}
 
 
 def test_false_hits_are_taken_off(spark):
