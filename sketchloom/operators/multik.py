@@ -9,11 +9,15 @@ one join.
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sketchloom.functions.seq import PIECE, explode_pieces, reverse_complement, windows
-from sketchloom.session import materialize
+from sketchloom.session import materialize, scratch_dir
+from sketchloom.sources.results import BY, SALTS, read_index, write_index
 
 
 def _prefixes(ks: list[int], text: Column, most: Column | None = None) -> Column:
@@ -124,8 +128,15 @@ def targets_of(spans: DataFrame, lookup: DataFrame, ks: list[int]) -> DataFrame:
 
 def matches(sequences: DataFrame, index: DataFrame, lookup: DataFrame, ks: list[int], uppercase: bool = True) -> DataFrame:
     """``(name, k, slot, prefix)`` for every index entry that some sample shingle leads to."""
-    targets = targets_of(sample_windows(sequences, ks, uppercase), lookup, ks)
-    return index.join(targets, ["k", "key"], "left_semi").select("name", "k", "slot", "prefix").distinct()
+    return entries_at(index, targets_of(sample_windows(sequences, ks, uppercase), lookup, ks)).select("name", "k", "slot", "prefix").distinct()
+
+
+def entries_at(index: DataFrame, targets: DataFrame) -> DataFrame:
+    """The index entries of the distinct ``targets(k, key)``; a stored index stays in its buckets, and the targets go there."""
+    if "salt" not in index.columns:
+        return index.join(targets, ["k", "key"], "left_semi")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    return index.join(targets.select("k", "key", salts), BY, "left_semi")
 
 
 def matches_once(
@@ -192,6 +203,8 @@ def select_results(frame: DataFrame, ks: list[int], threshold: float, location:
 
 
 def prepare(entries: DataFrame, ks: list[int], ksize: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """Materialised prefix index and lookup table of a database, ready for many queries."""
-    index = materialize(prefix_index(entries, ks), "prefix-index")
+    """Stored prefix index and lookup table of a database, ready for many queries."""
+    place = os.path.join(scratch_dir(entries.sparkSession), f"prefix-index-{uuid.uuid4().hex}")
+    write_index(prefix_index(entries, ks), place)
+    index = read_index(entries.sparkSession, place)
     return index, materialize(lookup_table(index, min(ks), ksize), "lookup")

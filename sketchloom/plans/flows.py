@@ -45,8 +45,8 @@ def index_database(spark: SparkSession, database: str, ks: list[int]) -> None:
     db = import_database(spark, database)
     spec = _spec_of(db)
     ks = cap_k_range(ks, spec.ksize)
-    index, lookup = multik.prepare(db.entries, ks, spec.ksize)
-    sink.write_index(index, f"{database}.index/keys")
+    sink.write_index(multik.prefix_index(db.entries, ks), f"{database}.index/keys")
+    lookup = multik.lookup_table(sink.read_index(spark, f"{database}.index/keys"), min(ks), spec.ksize)
     lookup.repartitionByRange("k", "query").write.partitionBy("k").parquet(f"{database}.index/lookup")
 
 

@@ -212,3 +212,28 @@ def test_no_cartesian_products(spark, rng):
     for frame in frames:
         plan = frame._jdf.queryExecution().executedPlan().toString()
         assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def left_side(plan):
+    """The plan's lines under the left input of its sort-merge join."""
+    lines = plan.split("\n")
+    top = next(i for i, line in enumerate(lines) if "SortMergeJoin" in line)
+    depth = lines[top + 1].index(":-")
+    end = next(i for i in range(top + 2, len(lines)) if lines[i][depth : depth + 2] == "+-")
+    return lines[top + 1 : end]
+
+
+def test_stored_index_is_joined_in_its_buckets(spark, rng, tmp_path):
+    data, reads, entries, sample = make(spark, rng)
+    index, lookup = multik.prepare(entries, KS, 7)
+    bound = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        targets = materialize(multik.targets_of(multik.sample_windows(sample, KS), lookup, KS), "t")
+        found = multik.entries_at(index, targets)
+        side = left_side(found._jdf.queryExecution().executedPlan().toString())
+        assert any("Bucketed: true" in line for line in side)
+        assert not any("Exchange" in line for line in side)
+        assert sorted(found.drop("salt").collect()) == sorted(multik.entries_at(index.drop("salt"), targets).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
