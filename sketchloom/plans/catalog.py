@@ -28,6 +28,7 @@ from sketchloom.operators import (
 )
 from sketchloom.plans import tables as t
 from sketchloom.session import materialize, scratch_dir
+from sketchloom.sources import ranges
 from sketchloom.sources.profiles import profile_lines, read_profile, read_taxonomy, read_truth, write_profile
 from sketchloom.sources.results import (
     read_grams,
@@ -56,6 +57,8 @@ QUERIES: dict[str, Query] = {}
 LEAST = 0.05
 LINK = 0.05
 NEAR = 0.5
+# Bytes of a range where a scan is to cut records.
+RANGE_BYTES = 65_536
 THRESHOLDS = [round(at * 0.6 / 49, 9) for at in range(49, -1, -1)]
 
 
@@ -705,6 +708,15 @@ def fasta_scan(spark, folder):
     return _digests(read_sequences(spark, place))
 
 
+@register
+def fasta_range_scan(spark, folder):
+    """Few files, read in ranges that are shorter than many records; pieces are put together again."""
+    place = _place(spark, "fasta-ranges")
+    write_fasta(_as_sequences(spark, folder).coalesce(2), place)
+    pieces = ranges.read_ranges(spark, place, overlap=t.K - 1, step=RANGE_BYTES, piece=1000)
+    return _digests(ranges.whole_records(pieces))
+
+
 @register
 def gz_scan(spark, folder):
     """Compressed files, which do not split."""

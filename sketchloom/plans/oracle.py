@@ -449,7 +449,7 @@ def oracle() -> dict[str, str]:
     }
     records = """select cast(doc_id as varchar) as record, length(seq) as letters, md5(seq) as digest
         from (select doc_id, translate(text, chr(10) || chr(13) || '>@+', '') as seq from documents)"""
-    sql |= dict.fromkeys(("fasta_scan", "fastq_scan", "gz_scan"), records)
+    sql |= dict.fromkeys(("fasta_scan", "fasta_range_scan", "fastq_scan", "gz_scan"), records)
     sql |= {
         "db_round_trip": sql["db_import_subset"],
         "index_round_trip": sql["prefix_index"],
