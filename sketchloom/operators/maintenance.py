@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from sketchloom.functions.seq import basename
 from sketchloom.operators.similarity import require_same
-from sketchloom.operators.sketch import SketchSpec, bottom_n, describe
+from sketchloom.operators.sketch import SketchSpec, bottom_n, describe, kmv_cardinality
+from sketchloom.session import materialize
 
 
 class Database(NamedTuple):
@@ -22,6 +23,12 @@ def build(sequences: DataFrame, spec: SketchSpec = SketchSpec(), exact: bool = F
     return Database(describe(sequences, spec, exact), bottom_n(sequences, spec))
 
 
+def build_once(sequences: DataFrame, spec: SketchSpec = SketchSpec()) -> Database:
+    """The same database from one pass over the texts: the numbers of shingles are estimated from the written sketches."""
+    entries = materialize(bottom_n(sequences, spec), "entries")
+    return Database(describe(sequences, spec, counts=kmv_cardinality(entries, spec)), entries)
+
+
 def require_unique_names(meta: DataFrame) -> None:
     twice = meta.groupBy("name").count().where("count > 1").select("name").limit(5).collect()
     if twice:

@@ -143,18 +143,33 @@ def cardinality(sequences: DataFrame, spec: SketchSpec = SketchSpec(), exact: bo
     return grams.groupBy("name").agg(F.hll_sketch_estimate(register).alias("true_num_kmers"))
 
 
-def describe(sequences: DataFrame, spec: SketchSpec = SketchSpec(), exact: bool = False) -> DataFrame:
+def kmv_cardinality(entries: DataFrame, spec: SketchSpec = SketchSpec()) -> DataFrame:
+    """``(name, true_num_kmers, error)`` from the sketches themselves, by their k minimum values: no text is read.
+
+    Hashes are spread evenly below the prime, so n slots of which the last is at h stand for ``(n - 1) prime / (h + 1)``
+    distinct shingles, with a relative standard error of ``1 / sqrt(n - 2)``. A sketch with free slots holds all its
+    hashes and is exact but for collisions. Merged sketches give the cardinality of the union.
+    """
+    filled = entries.groupBy("name").agg(F.count("*").alias("filled"), F.max("h").alias("last"))
+    full = F.col("filled") >= spec.n
+    guess = F.round(F.lit(float(spec.n - 1) * float(spec.prime)) / (F.col("last") + 1)).cast("bigint")
+    error = F.lit(1.0 / max(spec.n - 2, 1) ** 0.5)
+    return filled.select("name", F.when(full, guess).otherwise(F.col("filled")).alias("true_num_kmers"), F.when(full, error).otherwise(0.0).alias("error"))
+
+
+def describe(sequences: DataFrame, spec: SketchSpec = SketchSpec(), exact: bool = False, counts: DataFrame | None = None) -> DataFrame:
     """One metadata row per set: ``(name, path, ksize, prime, n, true_num_kmers, hash, both_strands)``.
 
     Sets without any shingle are present with a count of zero. ``path`` is taken from the input
-    when it has that column, else it is the name; a name with two paths is an error.
+    when it has that column, else it is the name; a name with two paths is an error. ``counts`` takes the place of
+    counting shingles here.
     """
     path = F.min("path") if "path" in sequences.columns else F.min("name")
     if "path" in sequences.columns:
         two = F.concat(F.lit("names must be unique; two files are named "), F.first("name"))
         path = F.when(F.min("path").eqNullSafe(F.max("path")), F.min("path")).otherwise(F.raise_error(two))
     names = sequences.groupBy("name").agg(path.alias("path"))
-    counts = cardinality(sequences, spec, exact)
+    counts = cardinality(sequences, spec, exact) if counts is None else counts.select("name", "true_num_kmers")
     return names.join(counts, "name", "left").select(
         "name",
         "path",

@@ -105,6 +105,24 @@ def hll_cardinality(spark, folder):
     return both.select("name", F.col("true_num_kmers").alias("exact"), within.alias("within"))
 
 
+@register
+def kmv_cardinality(spark, folder):
+    """Shingles per set by the sketch's own minimum values, next to the exact count and whether five errors hold it."""
+    docs = t.documents(spark, folder)
+    rough = sketch.kmv_cardinality(sketch.bottom_n(docs, t.TEXT), t.TEXT)
+    both = sketch.cardinality(docs, t.TEXT, exact=True).withColumnRenamed("true_num_kmers", "exact").join(rough, "name")
+    within = F.abs(F.col("true_num_kmers") - F.col("exact")) <= 5 * F.col("error") * F.col("exact") + 1
+    return both.select("name", "exact", F.col("true_num_kmers").alias("estimate"), within.alias("within"))
+
+
+@register
+def built_once(spark, folder):
+    """The database from a single pass over the texts."""
+    db = maintenance.build_once(t.documents(spark, folder), t.TEXT)
+    masses = db.entries.groupBy("name").agg(F.count("*").alias("filled"), F.sum("cnt").alias("mass"))
+    return db.meta.join(masses, "name", "left").select("name", F.col("true_num_kmers").alias("estimate"), "filled", "mass")
+
+
 @register
 def revcomp(spark, folder):
     return t.documents(spark, folder, dna=True).select("name", F.md5(reverse_complement("seq")).alias("digest"))
@@ -250,8 +268,8 @@ def common_count(spark, folder):
 @register
 def jaccard(spark, folder):
     """Each document against the benchmark: the walk starts at the document."""
-    table = similarity.capped_overlap(*_focal(spark, folder), t.N_FOCAL, focal_first=False)
-    return table.select("name", r9(F.col("common") / F.col("other_size")).alias("jaccard"))
+    table = similarity.capped_overlap(*_focal(spark, folder), t.N_FOCAL, focal_first=False, names=_names(spark, folder))
+    return table.select("name", r9(similarity.share(F.col("common"), F.col("other_size"))).alias("jaccard"))
 
 
 @register
@@ -266,7 +284,7 @@ def jaccard_dist(spark, folder):
 
 @register
 def jaccard_count(spark, folder):
-    table = similarity.jaccard_count(*_focal(spark, folder), t.N_FOCAL)
+    table = similarity.jaccard_count(*_focal(spark, folder), t.N_FOCAL, _names(spark, folder))
     return table.select("name", r9("share_of_other").alias("share_of_other"), r9("share_of_focal").alias("share_of_focal"))
 
 
@@ -277,7 +295,7 @@ def count_vector(spark, folder):
 
 @register
 def mash_jaccard(spark, folder):
-    return similarity.mash_jaccard(*_focal(spark, folder), t.N_FOCAL).select("name", r9("jaccard").alias("jaccard"))
+    return similarity.mash_jaccard(*_focal(spark, folder), t.N_FOCAL, _names(spark, folder)).select("name", r9("jaccard").alias("jaccard"))
 
 
 @register
@@ -288,7 +306,7 @@ def capped_overlap(spark, folder):
 
 @register
 def sketch_containment(spark, folder):
-    return similarity.sketch_containment(*_focal(spark, folder)).select("name", r9("containment").alias("containment"))
+    return similarity.sketch_containment(*_focal(spark, folder), _names(spark, folder)).select("name", r9("containment").alias("containment"))
 
 
 # -- all against all ---------------------------------------------------------------------------

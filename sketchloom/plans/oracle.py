@@ -101,6 +101,10 @@ def extra(tag: str, source: str) -> str:
   from ({source}) s left join {tag}_t on s.name = {tag}_t.name)"""
 
 
+KMV = f"""
+d_k as (select name, case when count(*) >= {N} then cast(round({float(N - 1) * float(DEFAULT_PRIME)!r} / (max(h) + 1)) as bigint) else count(*) end as estimate,
+  count(*) >= {N} as "full", count(*) as filled, cast(sum(cnt) as bigint) as mass from d_e group by name)"""
+
 # -- similarity ----------------------------------------------------------------------------------
 
 
@@ -136,7 +140,8 @@ sums as (select {key} as name, count(*) filter (counted) as common,
   count(*) filter ({fc} is not null and {dc} is not null) as shared, count(*) as united
   from walk group by 1),
 none as (select cast(doc_id as varchar) as name, 0 as common, 0 as focal_shared, 0 as other_shared,
-  (select count(*) from f_e) as focal_size, 0 as other_size, cast((select sum(cnt) from f_e) as bigint) as focal_total, 0 as other_total
+  (select count(*) from f_e) as focal_size, 0 as other_size, cast((select sum(cnt) from f_e) as bigint) as focal_total, 0 as other_total,
+  0 as within, 0 as shared, (select count(*) from f_e) as united
   from documents where {every} and cast(doc_id as varchar) not in (select name from sums))
 select name, {select} from (select * from sums union all by name select * from none)"""
 
@@ -344,18 +349,23 @@ def oracle() -> dict[str, str]:
         + summary("d") + " union all " + summary("x"),
         "common": focal_table("common", every=True),
         "common_count": focal_table("focal_shared, other_shared", every=True),
-        "jaccard": focal_table("round(common / other_size, 9) as jaccard", focal_first=False),
+        "jaccard": focal_table("coalesce(round(common / nullif(other_size, 0), 9), 0) as jaccard", focal_first=False, every=True),
         "jaccard_vector": focal_table("round(common / focal_size, 9) as jaccard", every=True),
         "jaccard_dist": focal_table("round(1 - common / focal_size, 9) as distance", every=True),
         "jaccard_count": focal_table(
-            "round(other_shared / other_total, 9) as share_of_other, round(focal_shared / focal_total, 9) as share_of_focal"
+            "coalesce(round(other_shared / nullif(other_total, 0), 9), 0) as share_of_other, round(focal_shared / focal_total, 9) as share_of_focal",
+            every=True,
         ),
         "count_vector": focal_table("round(focal_shared / focal_total, 9) as share", every=True),
-        "mash_jaccard": focal_table(f"round(within / least({N_FOCAL}, united), 9) as jaccard"),
+        "mash_jaccard": focal_table(f"round(within / least({N_FOCAL}, united), 9) as jaccard", every=True),
         "capped_overlap": focal_table(
             "common, focal_shared, other_shared, focal_size, other_size, focal_total, other_total", every=True
         ),
-        "sketch_containment": focal_table("round(shared / other_size, 9) as containment"),
+        "sketch_containment": focal_table("coalesce(round(shared / nullif(other_size, 0), 9), 0) as containment", every=True),
+        "kmv_cardinality": f"""with {docs()}, {META}, {KMV} select name, true_num_kmers as exact, estimate,
+            abs(estimate - true_num_kmers) <= case when "full" then 5 * (1.0::double / sqrt({N - 2})) else 0 end * true_num_kmers + 1 as within
+            from d_k join d_m using (name)""",
+        "built_once": f"""with {docs()}, {META}, {KMV} select name, coalesce(estimate, 0) as estimate, filled, mass from d_m left join d_k using (name)""",
         "sketch_copies": f"with {docs()}, {REPS} select name, representative from cp",
         "jaccard_matrix": f"""with {pairs()} select i as name_i, j as name_j, round(common_ij / size_i, 9) as jaccard_ij,
             round(common_ji / size_j, 9) as jaccard_ji from cell where common_ij > 0 or common_ji > 0""",

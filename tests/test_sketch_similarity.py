@@ -286,3 +286,18 @@ def test_similarity_join_equals_the_matrix(spark, rng, monkeypatch):
     assert simjoin.similar_pairs(entries.where("false"), 8, 0.5).count() == 0
     with pytest.raises(ValueError):
         simjoin.similar_pairs(entries, 8, 0.0)
+
+
+def test_cardinality_from_the_sketch_itself(spark, rng):
+    data = {"big": dna(rng, 30_000), "small": dna(rng, 90), "none": "NNN"}
+    spec = sketch.SketchSpec(n=400, ksize=15)
+    db = maintenance.build_once(sets(spark, data), spec)
+    counts = {r["name"]: r["true_num_kmers"] for r in db.meta.collect()}
+    exact = {n: len(set(grams(s, 15))) if "N" not in s else 0 for n, s in data.items()}
+    assert counts["small"] == exact["small"] and counts["none"] == 0
+    assert abs(counts["big"] - exact["big"]) <= 5 * exact["big"] / 398**0.5
+    # The sketch of two halves, merged, counts their union.
+    cut = {"h": [data["big"][:16_000], data["big"][15_986:]]}
+    halves = [sketch.bottom_n(sets(spark, {"h": x}), spec) for x in cut["h"]]
+    merged = sketch.kmv_cardinality(sketch.merge_sketches(halves[0].unionByName(halves[1]), 400), spec).first()
+    assert merged["true_num_kmers"] == counts["big"] and merged["error"] == pytest.approx(398**-0.5)
