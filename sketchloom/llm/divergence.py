@@ -11,7 +11,7 @@ so the padding is unambiguous and packed order is byte order.
    ``min_docs`` documents or more. Totals follow from the kept counts.
 3. ``p = 1 + floor(scale * (count + 2) / (N + 2 V))`` for each group and for the language, in exact integers.
 4. Divergence of two sources is a sum over all kept terms. Only terms that both have are paired, inside a
-   part, slab by slab, and come out as sums per pair of sources. The other terms have the same value on
+   task, slab by slab, and come out as sums per pair of sources. The other terms have the same value on
    one side: they follow from the number of terms at each value of p.
 
 Defined cases: null text, language and source count as ''; a document without terms still makes its group occur;
@@ -291,46 +291,88 @@ def distance(p: str, q: str) -> Column:
     return F.call_function("div", gap * gap, F.col(p) + F.col(q))
 
 
-def shared_terms(rows: DataFrame) -> DataFrame:
-    """``lang, source, item, value``: what the terms that both sources have add to what they would if each were absent.
+PAIRED = pa.schema([("lang", pa.string()), ("source", pa.string()), ("item", pa.string()), ("value", pa.int64())])
 
-    ``rows(part, lang, source, term, p, none)``: ``none`` is the share of an absent term. A pair comes out
-    in one direction only, once for each slab of a part.
-    """
-    schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("item", pa.string()), ("value", pa.int64())])
-
-    def gap(p, q):
-        return (p - q) ** 2 // (p + q)
-
-    def run(part: pa.Table) -> pa.Table:
-        part = part.combine_chunks()
-        lang, source, term = (part[c].combine_chunks().dictionary_encode() if part.num_rows else None for c in ("lang", "source", "term"))
-        lang_code, source_code, term_code = (c.indices.to_numpy().astype(np.int64) for c in (lang, source, term))
-        order = np.lexsort((source_code, term_code, lang_code))
-        lang_code, source_code, term_code = lang_code[order], source_code[order], term_code[order]
-        p, none = part["p"].to_numpy()[order], part["none"].to_numpy()[order]
-        begins = starts_of(lang_code, term_code)
-        ends = np.append(begins[1:], len(p))
-        last = np.repeat(ends, ends - begins)
-        partners = last - np.arange(len(p)) - 1  # later sources of the same term
+
+def gap(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return (p - q) ** 2 // (p + q)
+
+
+class PairSums:
+    """Sums per pair of sources, over whole terms."""
+
+    def __init__(self):
+        self.names: dict[tuple[str, str], int] = {}
+        self.keys, self.values, self.size = [], [], 0
+
+    def codes(self, rows: pa.Table) -> np.ndarray:
+        lang, source = (rows[c].combine_chunks().dictionary_encode() for c in ("lang", "source"))
+        both = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
+        some, inverse = np.unique(both, return_inverse=True)
+        langs, sources = lang.dictionary.to_pylist(), source.dictionary.to_pylist()
+        return np.array([self.names.setdefault((langs[k // len(sources)], sources[k % len(sources)]), len(self.names)) for k in some.tolist()])[inverse]
+
+    def add(self, rows: pa.Table, begins: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Rows of whole terms, each from where ``begins`` says: every source with those after it, slab by slab."""
+        code, p, none = self.codes(rows), rows["p"].to_numpy(), rows["none"].to_numpy()
+        sizes = np.diff(np.append(begins, len(code)))
+        partners = np.repeat(begins + sizes, sizes) - np.arange(len(code)) - 1
         before = np.concatenate([[0], np.cumsum(partners)])
-        tables, row, sources = [], 0, len(source.dictionary)
-        while row < len(p):
+        row = 0
+        while row < len(code):
             end = max(row + 1, int(np.searchsorted(before, before[row] + PAIRS, side="right")) - 1)
-            some = partners[row:end]
-            one = np.repeat(np.arange(row, end), some)
-            other = one + 1 + np.arange(before[end] - before[row]) - np.repeat(before[row:end] - before[row], some)
+            one = np.repeat(np.arange(row, end), partners[row:end])
+            other = one + 1 + np.arange(len(one)) - np.repeat(before[row:end] - before[row], partners[row:end])
             value = gap(p[one], p[other]) - gap(p[one], none[other]) - gap(none[one], p[other]) + gap(none[one], none[other])
-            key = (lang_code[one] * sources + source_code[one]) * sources + source_code[other]
-            keys, inverse = np.unique(key, return_inverse=True)
-            total = np.zeros(len(keys), dtype=np.int64)
-            np.add.at(total, inverse, value)
-            columns = [lang.dictionary.take(pa.array(keys // sources // sources)), source.dictionary.take(pa.array(keys // sources % sources)), source.dictionary.take(pa.array(keys % sources)), pa.array(total)]
-            tables.append(pa.Table.from_arrays(columns, schema=schema))
+            self.keys.append((code[one] << 32) | code[other])
+            self.values.append(value)
+            self.size += len(one)
+            if self.size >= PAIRS:
+                self.reduce()
+                if self.size >= PAIRS // 2:
+                    yield from self.flush()
             row = end
-        return pa.concat_tables(tables)
 
-    return rows.groupBy("part").applyInArrow(run, "lang string, source string, item string, value bigint")
+    def reduce(self) -> None:
+        keys, inverse = np.unique(np.concatenate(self.keys), return_inverse=True)
+        total = np.zeros(len(keys), dtype=np.int64)
+        np.add.at(total, inverse, np.concatenate(self.values))
+        self.keys, self.values, self.size = [keys], [total], len(keys)
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            self.reduce()
+            lang, source = (pa.array([x[k] for x in self.names], pa.string()) for k in (0, 1))
+            one, other = pa.array(self.keys[0] >> 32), pa.array(self.keys[0] & 0xFFFFFFFF)
+            yield pa.RecordBatch.from_arrays([lang.take(one), source.take(one), source.take(other), pa.array(self.values[0])], schema=PAIRED)
+        self.keys, self.values, self.size = [], [], 0
+
+
+def shared_terms(rows: DataFrame) -> DataFrame:
+    """``lang, source, item, value``: what the terms that both sources have add to what they would if each were absent.
+
+    ``rows(part, lang, source, term, p, none)``: ``none`` is the share of an absent term. Tasks read the terms of their
+    parts in order and send a sum per pair, in one direction only.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, carried = PairSums(), None
+        for batch in batches:
+            held = pa.Table.from_batches([batch]) if carried is None else pa.concat_tables([carried, pa.Table.from_batches([batch])])
+            if not held.num_rows:
+                continue
+            columns = [held[c].combine_chunks().dictionary_encode().indices.to_numpy() for c in ("lang", "term")]
+            begins = starts_of(*columns)
+            last = int(begins[-1])  # the last term may go on in the next batch
+            if last:
+                yield from sums.add(held.slice(0, last), begins[:-1])
+            carried = held.slice(last)
+        if carried is not None:
+            yield from sums.add(carried, np.zeros(1, dtype=np.int64))
+        yield from sums.flush()
+
+    ordered = rows.repartition("part").sortWithinPartitions("lang", "term").select("lang", "source", "term", "p", "none")
+    return ordered.mapInArrow(run, "lang string, source string, item string, value bigint")
 
 
 def audit(docs: DataFrame, min_docs: int = 10, ranks: int = 10, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
