@@ -53,10 +53,10 @@ def prefilter(index: DataFrame) -> DataFrame:
     return keys.union(keys.select("k", reverse_complement("prefix"))).distinct()
 
 
-def lookup_table(index: DataFrame, first_k: int, ksize: int | None = None) -> DataFrame:
-    """``(k, query, target, chain)``: the key that a sample shingle ``query`` leads to; unique on (k, query).
+def lookup_table(index: DataFrame, first_k: int, ksize: int | None = None, chained: bool = False) -> DataFrame:
+    """``(k, query, target)``: the key that a sample shingle ``query`` leads to; unique on (k, query).
 
-    ``chain`` has ``(k, target)`` of every query that this one starts with, itself included.
+    With ``chained`` also ``chain``: ``(k, target)`` of every query that this one starts with, itself included.
 
     A shingle longer than ``first_k`` must also start with a shingle of the prefilter at ``first_k``.
     At ``ksize``, the length the database was sketched at, both strands of every shingle are keys
@@ -75,7 +75,8 @@ def lookup_table(index: DataFrame, first_k: int, ksize: int | None = None) -> Da
         .drop("gate")
         .join(forward.select("k", "query"), ["k", "query"], "left_anti")
     )
-    return _chained(materialize(forward.union(flipped), "queries"))
+    table = forward.union(flipped)
+    return _chained(materialize(table, "queries")) if chained else table
 
 
 def _chained(lookup: DataFrame) -> DataFrame:
@@ -112,9 +113,13 @@ def targets_of(spans: DataFrame, lookup: DataFrame, ks: list[int]) -> DataFrame:
     """Distinct ``(k, key)`` that some window of the sample leads to; ``spans`` as :func:`sample_windows` gives them.
 
     Windows and queries are sorted together inside their common start. The greatest query up to a window has every
-    query that the window starts with as a prefix, as has all that lies between the two.
+    query that the window starts with as a prefix, as has all that lies between the two. A lookup without chains, as
+    stored ones are, is joined once for each length instead.
     """
     asked = spans.distinct().join(gates(lookup, ks), "gate", "left_semi")
+    if "chain" not in lookup.columns:
+        each = asked.select(F.explode(_prefixes(ks, F.col("span"), F.length("span"))).alias("p")).select("p.k", F.col("p.prefix").alias("query"))
+        return each.distinct().join(lookup, ["k", "query"]).select("k", F.col("target").alias("key")).distinct()
     none = F.lit(None).cast(lookup.schema["chain"].dataType)
     keys = lookup.select(F.substring("query", 1, min(ks)).alias("gate"), F.col("query").alias("span"), "chain")
     both = keys.unionByName(asked.withColumn("chain", none))
@@ -154,7 +159,7 @@ def matches_once(
     strands = F.explode(F.array(F.col("p.prefix"), reverse_complement("p.prefix"))).alias("key")
     near = asked.select("p.k", strands).distinct()
     index = materialize(prefix_index(entries, ks).join(near, ["k", "key"], "left_semi"), "near-index")
-    lookup = materialize(lookup_table(index, min(ks), ksize), "near-lookup")
+    lookup = materialize(lookup_table(index, min(ks), ksize, chained=True), "near-lookup")
     return index.join(targets_of(spans, lookup, ks), ["k", "key"], "left_semi").select("name", "k", "slot", "prefix").distinct()
 
 
