@@ -1,16 +1,19 @@
 """Quality rules: robust multivariate outliers by minimum-covariance-determinant estimates.
 
 Statistics of every whole text become a vector of transformed shares. Each (language, source) group
-gets a minimum-covariance-determinant estimate of centre and scatter: from medians and quartile
-ranges, concentration steps keep the ``h`` documents with the least distances and estimate anew
-from them. A document is rejected when its Mahalanobis distance exceeds a chi-square quantile, or
-by the base rule (too short, or mostly repeated words).
+gets a minimum-covariance-determinant estimate of centre and scatter: from each of four starts,
+concentration steps keep the ``h`` documents with the least distances and estimate anew from them,
+and the start that ends with the least determinant is taken. The starts are medians with quartile
+ranges, plain moments, and the correlations of squashed values and of directions. A document is
+rejected when its Mahalanobis distance exceeds a chi-square quantile, or by the base rule (too
+short, or mostly repeated words).
 
 A concentration step is one aggregation of all rows: sums of values and products by group and by
 the logarithmic bin of the distance. Rows combine map-side into a few hundred bins per group, so a
 group that holds a third of the corpus costs no more than another, and only bins reach the step
-that picks the ``h`` nearest. Constants are added to variances (a regularised estimate): a share that is 0 in
-nearly every document would otherwise make any other value an outlier.
+that picks the ``h`` nearest (and the rest of the last one's bin). Scatter has a floor: in units of
+the floor, eigenvalues below one are raised to one and the others stay as estimated. A share that
+is 0 in nearly every document would otherwise make any other value an outlier.
 
 Defined cases: null text has no words and fails the base rule; null language or source is a group
 of its own; groups with fewer than ``least_rows`` usable documents use the estimate of their
@@ -38,9 +41,11 @@ from sketchloom.session import materialize
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks"]
 
-# Feature, and the standard deviation whose square is added to its variance.
-FEATURES = {"word_length": 0.12, "symbols": 0.15, "dup_lines": 0.08, "repeats": 0.1, "upper": 0.1, "marks": 0.08}
+# Feature, and the least standard deviation it can have.
+FEATURES = {"word_length": 0.02, "symbols": 0.15, "dup_lines": 0.08, "repeats": 0.06, "upper": 0.01, "marks": 0.05}
 P = len(FEATURES)
+FLOOR = np.array(list(FEATURES.values()))
+STARTS = ("quartiles", "moments", "squashed", "directions")
 
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -159,29 +164,48 @@ def _levels() -> Column:
     return F.array(both, F.concat(F.lit("l:"), F.to_json(F.struct("lang"))), F.lit("all"))
 
 
+def _whitened() -> list[Column]:
+    return [sum((F.col("white")[i * P + j] * (F.col("x")[j] - F.col("centre")[j]) for j in range(i, P)), F.lit(0.0)) for i in range(P)]
+
+
 def _distance() -> Column:
     """Squared Mahalanobis distance: whitened differences, squared and summed."""
-    total = F.lit(0.0)
-    for i in range(P):
-        z = F.lit(0.0)
-        for j in range(i, P):
-            z = z + F.col("white")[i * P + j] * (F.col("x")[j] - F.col("centre")[j])
-        total = total + z * z
-    return total
+    return sum((z * z for z in _whitened()), F.lit(0.0))
+
+
+def floored(scatter: np.ndarray) -> np.ndarray:
+    """The scatter with eigenvalues, in units of the floor, of one or more; larger ones are as estimated."""
+    values, vectors = np.linalg.eigh(scatter / np.outer(FLOOR, FLOOR))
+    return (vectors * np.maximum(values, 1.0)) @ vectors.T * np.outer(FLOOR, FLOOR)
 
 
-def _state(g: str, n: float, centre: np.ndarray, scatter: np.ndarray) -> pd.DataFrame:
-    scatter = scatter + np.diag(np.square(list(FEATURES.values())))
+def _state(g: str, start: int, n: float, centre: np.ndarray, scatter: np.ndarray) -> pd.DataFrame:
+    scatter = floored(scatter)
     white = np.linalg.cholesky(np.linalg.inv(scatter)).T
-    return pd.DataFrame({"g": [g], "n": [int(n)], "centre": [centre.tolist()], "white": [white.ravel().tolist()]})
+    size = np.linalg.slogdet(scatter)[1]
+    return pd.DataFrame({"g": [g], "start": [int(start)], "n": [int(n)], "centre": [centre.tolist()], "white": [white.ravel().tolist()], "logdet": [size]})
+
+
+STATE = "g string, start int, n bigint, centre array<double>, white array<double>, logdet double"
+WIDTH = 0.005  # of a bin of the first start's histograms
+PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
+
+
+def _moments(column: str) -> list[Column]:
+    own = F.col(column)
+    sums = [F.sum(own[i]).alias(f"s{i}") for i in range(P)]
+    return [F.count(F.lit(1)).alias("n"), *sums, *[F.sum(own[i] * own[j]).alias(f"s{i}_{j}") for i, j in PAIRS]]
 
 
-STATE = "g string, n bigint, centre array<double>, white array<double>"
-WIDTH = 0.02  # of a bin of the start's histograms
+def _covariance(sums: dict) -> tuple[np.ndarray, np.ndarray]:
+    centre, scatter = np.array([sums[f"s{i}"] for i in range(P)]) / sums["n"], np.zeros((P, P))
+    for i, j in PAIRS:
+        scatter[i, j] = scatter[j, i] = sums[f"s{i}_{j}"] / sums["n"] - centre[i] * centre[j]
+    return centre, scatter
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Median and quartile range of every feature, from histograms."""
+def _quartiles(rows: DataFrame) -> DataFrame:
+    """The first start, median and quartile range of every feature, from histograms."""
     cells = rows.select("g", F.posexplode("x").alias("f", "v")).groupBy("g", "f", F.floor(F.col("v") / WIDTH).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
     def estimate(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
@@ -190,40 +214,62 @@ def _start(rows: DataFrame) -> DataFrame:
             below = own["n"].cumsum().to_numpy()
             low, middle, high = (own["bin"].to_numpy()[np.searchsorted(below, q * below[-1])] for q in (0.25, 0.5, 0.75))
             centre[f], spread[f], rows_in = (middle + 0.5) * WIDTH, (high - low) * WIDTH / 1.349, below[-1]
-        return _state(key[0], rows_in, centre, np.diag(spread**2))
+        return _state(key[0], 0, rows_in, centre, np.diag(spread**2))
 
     return cells.groupBy("g").applyInPandas(estimate, STATE)
 
 
+def _other_starts(rows: DataFrame, first: DataFrame) -> DataFrame:
+    """The three starts from moments of values in units of the first start: as they are, squashed, and at length one."""
+    z = rows.join(first.select("g", "centre", "white"), "g").select("g", F.array(*_whitened()).alias("z"))
+    norm = F.sqrt(sum((F.col("z")[i] * F.col("z")[i] for i in range(P)), F.lit(0.0)))
+    squashed, direction = F.transform("z", F.tanh), F.transform("z", lambda v: F.when(norm > 0, v / norm).otherwise(0.0))
+    forms = F.array(*[F.struct(F.lit(k).alias("start"), u.alias("u")) for k, u in enumerate((F.col("z"), squashed, direction), 1)])
+    sums = z.select("g", F.inline(forms)).groupBy("g", "start").agg(*_moments("u"))
+
+    def estimate(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            for row in part.to_dict("records"):
+                unit = 1 / np.asarray(row["white"]).reshape(P, P).diagonal()
+                mean, scatter = _covariance(row)
+                if row["start"] > 1:  # correlations, around the medians
+                    deviation = np.sqrt(np.maximum(scatter.diagonal(), 0))
+                    deviation = np.where(deviation > 1e-9, deviation, np.inf)
+                    mean, scatter = np.zeros(P), scatter / np.outer(deviation, deviation)
+                    np.fill_diagonal(scatter, 1.0)
+                yield _state(row["g"], row["start"], row["n"], np.asarray(row["centre"]) + unit * mean, scatter * np.outer(unit, unit))
+
+    return sums.join(first.select("g", "centre", "white"), "g").mapInPandas(estimate, STATE)
+
+
+def shrinking(share: float) -> float:
+    """What the scatter of the nearest ``share`` of a normal sample is multiplied by to be that of all."""
+    return share / chi2_cdf(chi2_quantile(share, P), P + 2)
+
+
 def _step(rows: DataFrame, states: DataFrame, h: float | None, within: float | None) -> DataFrame:
-    """One estimate from the nearest part ``h`` of each group, or from the rows ``within`` a distance."""
-    pairs = [(i, j) for i in range(P) for j in range(i, P)]
-    near = rows.join(states.drop("n"), "g").withColumn("d", _distance())
-    bins = near.withColumn("bin", F.floor(F.log2(F.col("d") + 1e-6) * 16).cast("int")).groupBy("g", "bin")
-    bins = bins.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(P)],
-        *[F.sum(F.col("x")[i] * F.col("x")[j]).alias(f"s{i}_{j}") for i, j in pairs],
-    )
+    """One estimate per group and start from the nearest part ``h``, or from the rows ``within`` a distance."""
+    near = rows.join(states.drop("n", "logdet"), "g").withColumn("d", _distance())
+    bins = near.withColumn("bin", F.floor(F.log2(F.col("d") + 1e-6) * 16).cast("int")).groupBy("g", "start", "bin").agg(*_moments("x"))
     last_bin = None if within is None else math.floor(math.log2(within) * 16)
-    part_in = h if h is not None else chi2_cdf(within, P)
-    shrink = part_in / chi2_cdf(chi2_quantile(part_in, P), P + 2)
+    factor = shrinking(h if h is not None else chi2_cdf(within, P))
 
     def estimate(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("bin")
         below = part["n"].cumsum().to_numpy()
         all_rows = below[-1]
         many = np.searchsorted(below, h * all_rows) + 1 if h is not None else max(1, int((part["bin"] <= last_bin).sum()))
-        own = part.iloc[:many].sum(numeric_only=True)
-        n = own["n"]
-        centre = np.array([own[f"s{i}"] for i in range(P)]) / n
-        scatter = np.zeros((P, P))
-        for i, j in pairs:
-            scatter[i, j] = scatter[j, i] = own[f"s{i}_{j}"] / n - centre[i] * centre[j]
-        values, vectors = np.linalg.eigh(scatter * shrink)
-        return _state(key[0], all_rows, centre, (vectors * np.maximum(values, 0)) @ vectors.T)
+        centre, scatter = _covariance(part.iloc[:many].sum(numeric_only=True).to_dict())
+        return _state(key[0], key[1], all_rows, centre, scatter * factor)
+
+    return bins.groupBy("g", "start").applyInPandas(estimate, STATE)
+
 
-    return bins.groupBy("g").applyInPandas(estimate, STATE)
+def _least(states: DataFrame) -> DataFrame:
+    """Per group the start with the least determinant; of equal ones the first."""
+    own = F.struct(*[c for c in states.columns if c != "g"])
+    # Rounded: sums in another order must not choose between starts that have met.
+    return states.groupBy("g").agg(F.min_by(own, F.struct(F.round("logdet", 6), "start")).alias("own")).select("g", "own.*")
 
 
 def fit(stats: DataFrame, h: float = 0.75, steps: int = 4) -> DataFrame:
@@ -231,10 +277,11 @@ def fit(stats: DataFrame, h: float = 0.75, steps: int = 4) -> DataFrame:
     usable = stats.filter(~base_failed())
     vector = F.array(*[F.col("quality")[f] for f in FEATURES])
     rows = usable.select(F.explode(_levels()).alias("g"), vector.alias("x"))
-    states = materialize(_start(rows), "mcd-start")
+    first = materialize(_quartiles(rows), "mcd-quartiles")
+    states = materialize(first.unionByName(_other_starts(rows, first)), "mcd-starts")
     for _ in range(steps):
         states = materialize(_step(rows, states, h, None), "mcd-step")
-    return materialize(_step(rows, states, None, chi2_quantile(0.975, P)), "mcd-fit")
+    return materialize(_step(rows, _least(states), None, chi2_quantile(0.975, P)), "mcd-fit")
 
 
 def judge(stats: DataFrame, states: DataFrame, quantile: float = 0.9999, least_rows: int = 20 * P) -> DataFrame:
