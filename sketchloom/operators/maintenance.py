@@ -68,8 +68,8 @@ def delete(db: Database, names: DataFrame) -> Database:
     return Database(db.meta.join(unwanted, "name", "left_anti"), db.entries.join(unwanted, "name", "left_anti"))
 
 
-def insert(db: Database, sequences: DataFrame, spec: SketchSpec) -> Database:
-    """Sketch the sets that are not in the database yet and add them.
+def additions(db: Database, sequences: DataFrame, spec: SketchSpec) -> Database:
+    """The sketches of the sets that are not in the database yet.
 
     Size, shingle length and modulus come from the database's first sketch; its hash must be the one
     given. As in the original tool
@@ -81,7 +81,12 @@ def insert(db: Database, sequences: DataFrame, spec: SketchSpec) -> Database:
         raise ValueError(f"the database was made with {first['hash']} (both strands: {first['both_strands']}), not with {spec.hasher.__name__}")
     own = replace(spec, n=first["sketch_size"], ksize=first["ksize"], prime=first["prime"], alphabet=None, uppercase=False)
     fresh = sequences.join(db.meta.select("name"), "name", "left_anti")
-    added = build(fresh, own, exact=True)
+    return build(fresh, own, exact=True)
+
+
+def insert(db: Database, sequences: DataFrame, spec: SketchSpec) -> Database:
+    """The database with the :func:`additions` of ``sequences``."""
+    added = additions(db, sequences, spec)
     return Database(db.meta.unionByName(added.meta), db.entries.unionByName(added.entries))
 
 

@@ -47,7 +47,8 @@ from sketchloom.sources.sequences import (
     write_fasta,
     write_kmer_fasta,
 )
-from sketchloom.sources.sketchdb import export_database, import_database
+from sketchloom.sources.hitmatrix import read_hit_matrix, write_hit_matrix
+from sketchloom.sources.sketchdb import append_to, export_database, import_database, mark_deleted
 from sketchloom.streaming import containment as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -777,6 +778,24 @@ def match_tsv_round_trip(spark, folder):
     return read_matches(spark, place).select("name", big("k"), big("slot"), "prefix")
 
 
+@register
+def hit_matrix_round_trip(spark, folder):
+    place = _place(spark, "hit-matrix")
+    write_hit_matrix(_multi(spark, folder)[1], _names(spark, folder), t.KS, place)
+    return read_hit_matrix(spark, place).select("name", big("k"), big("slot"))
+
+
+@register
+def db_append_and_mark(spark, folder):
+    """A written database with sets added in place, then others deleted in place."""
+    place = _place(spark, "database")
+    export_database(_database(spark, folder), place)
+    append_to(spark, place, t.conversations(spark, folder).unionByName(t.documents(spark, folder)), t.TEXT)
+    toxic = t.table(spark, folder, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("name"))
+    mark_deleted(spark, place, toxic)
+    return _summary(import_database(spark, place))
+
+
 @register
 def result_csv_round_trip(spark, folder):
     place = _place(spark, "results")

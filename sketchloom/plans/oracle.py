@@ -464,6 +464,9 @@ def oracle() -> dict[str, str]:
         "db_round_trip": sql["db_import_subset"],
         "index_round_trip": sql["prefix_index"],
         "match_tsv_round_trip": sql["multi_k_matches"],
+        "hit_matrix_round_trip": f"select distinct name, k, slot from ({sql['multi_k_matches']})",
+        "db_append_and_mark": f"with {docs()}, {META}, {FILLED.format('d')}, {extra('x', CONVERSATIONS_RAW)} "
+        + summary("d", "m.name not in (select cast(doc_id as varchar) from labels where toxic = 1)") + " union all " + summary("x"),
         "result_csv_round_trip": sql["containment_wide"],
         "kmer_fasta_round_trip": f"with {docs_dna()} select distinct kmer from d_e",
         "cluster_fasta_round_trip": f"""with recursive {pairs()}, {CLUSTERS}, {LINEAGE}, {LCA}

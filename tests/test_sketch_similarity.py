@@ -301,3 +301,76 @@ def test_cardinality_from_the_sketch_itself(spark, rng):
     halves = [sketch.bottom_n(sets(spark, {"h": x}), spec) for x in cut["h"]]
     merged = sketch.kmv_cardinality(sketch.merge_sketches(halves[0].unionByName(halves[1]), 400), spec).first()
     assert merged["true_num_kmers"] == counts["big"] and merged["error"] == pytest.approx(398**-0.5)
+
+
+def test_additions_and_deletions_in_place(spark, tmp_path):
+    import os
+
+    from sketchloom.sources import sketchdb as store
+
+    def listed(folder):
+        found = {}
+        for base, _, names in os.walk(folder):
+            found.update({os.path.join(base, n): os.stat(os.path.join(base, n)).st_mtime_ns for n in names if n[0] not in "_."})  # markers aside
+        return found
+
+    spec, path = SketchSpec(n=5, ksize=3), str(tmp_path / "db")
+    genomes = {"g1.fa": SEQ1.upper(), "g2.fa": SEQ3.upper()}
+    more = {**genomes, "g3.fa": "ACGT" * 9, "g4.fa": "TTGACA" * 5}
+    store.export_database(maintenance.build(sets(spark, genomes), spec, exact=True), path)
+    before = listed(path)
+    store.append_to(spark, path, sets(spark, more), spec)
+    after = listed(path)
+    # No old file changed, and what is new holds the new sketches alone.
+    assert all(after[f] == at for f, at in before.items())
+    fresh = sorted({f for f in after if f.endswith(".parquet") and "/entries/" in f} - set(before))
+    assert {r["name"] for r in spark.read.parquet(*fresh).select("name").distinct().collect()} == {"g3.fa", "g4.fa"}
+    whole = maintenance.build(sets(spark, more), spec, exact=True)
+    assert table(store.import_database(spark, path).entries) == table(whole.entries)
+    assert sorted(store.import_database(spark, path).meta.collect()) == sorted(whole.meta.collect())
+
+    store.mark_deleted(spark, path, spark.createDataFrame([("x/g1.fa",), ("g3.fa",), ("unknown",), (None,)], "name string"))
+    assert all(listed(path)[f] == at for f, at in after.items())
+    left = store.import_database(spark, path)
+    assert set(by_name(left.meta, "n")) == {"g2.fa", "g4.fa"} == {r["name"] for r in left.entries.select("name").distinct().collect()}
+    store.append_to(spark, path, sets(spark, {"g1.fa": SEQ1.upper()}), spec)  # a deleted name comes back
+    back = store.import_database(spark, path)
+    assert table(back.entries.where("name = 'g1.fa'")) == table(whole.entries.where("name = 'g1.fa'"))
+    with pytest.raises(KeyError):
+        store.import_database(spark, path, ["g3.fa"])
+    store.compact(spark, path, str(tmp_path / "compact"))
+    assert table(store.import_database(spark, str(tmp_path / "compact")).entries) == table(back.entries)
+    # An operation that is not in the log has not happened.
+    added = maintenance.build(sets(spark, {"g9.fa": "ACGGT" * 4}), spec, exact=True)
+    added.meta.write.parquet(f"{path}/later/000009-broken/meta")
+    assert store.import_database(spark, path).meta.count() == 3
+    # Several databases as one: deletions of one do not reach the other.
+    other = str(tmp_path / "other")
+    store.export_database(maintenance.build(sets(spark, {"g3.fa": "ACGT" * 9}), spec, exact=True), other)
+    assert set(by_name(store.import_database(spark, [path, other]).meta, "n")) == {"g1.fa", "g2.fa", "g3.fa", "g4.fa"}
+
+
+def test_hit_matrix_columns(spark, tmp_path):
+    import random
+
+    from sketchloom.sources import hitmatrix
+
+    rng = random.Random(5)
+    names = [f"s{k}" for k in range(40)]
+    hits = {(rng.choice(names[:30]), rng.choice([4, 6]), rng.randrange(12)) for _ in range(300)}
+    rows = spark.createDataFrame([*hits, *list(hits)[:9]], "name string, k int, slot int")
+    every = spark.createDataFrame([(n,) for n in names], "name string")
+    path = str(tmp_path / "matrix")
+    hitmatrix.write_hit_matrix(rows, every, [4, 6], path, columns=8)
+    assert sorted(map(tuple, hitmatrix.read_hit_matrix(spark, path).collect())) == sorted(hits)
+    wanted = ["s3", "s39", "nobody"]
+    assert sorted(map(tuple, hitmatrix.read_columns(spark, path, wanted).collect())) == sorted(h for h in hits if h[0] in wanted)
+    blocks = spark.read.parquet(f"{path}/blocks").collect()
+    assert sorted((b.k, n) for b in blocks for n in b.names) == sorted((k, n) for k in (4, 6) for n in names)
+    for b in blocks:
+        assert len(b.pointers) == len(b.names) + 1 and b.pointers[0] == 0 and b.pointers[-1] == len(b.rows)
+        for at, name in enumerate(b.names):
+            own = b.rows[b.pointers[at] : b.pointers[at + 1]]
+            assert own == sorted(slot for n, k, slot in hits if (n, k) == (name, b.k))
+    hitmatrix.write_hit_matrix(rows.limit(0), every.limit(0), [4], str(tmp_path / "none"))
+    assert hitmatrix.read_hit_matrix(spark, str(tmp_path / "none")).count() == 0
