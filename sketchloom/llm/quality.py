@@ -281,7 +281,8 @@ def fit(stats: DataFrame, h: float = 0.75, steps: int = 4) -> DataFrame:
     states = materialize(first.unionByName(_other_starts(rows, first)), "mcd-starts")
     for _ in range(steps):
         states = materialize(_step(rows, states, h, None), "mcd-step")
-    return materialize(_step(rows, _least(states), None, chi2_quantile(0.975, P)), "mcd-fit")
+    states = materialize(_least(states), "mcd-least")
+    return materialize(_step(rows, states, None, chi2_quantile(0.975, P)), "mcd-fit")
 
 
 def judge(stats: DataFrame, states: DataFrame, quantile: float = 0.9999, least_rows: int = 20 * P) -> DataFrame:
