@@ -188,6 +188,8 @@ def _state(g: str, start: int, n: float, centre: np.ndarray, scatter: np.ndarray
 
 STATE = "g string, start int, n bigint, centre array<double>, white array<double>, logdet double"
 WIDTH = 0.005  # of a bin of the first start's histograms
+FEW = 5_000  # groups whose states, four of some 400 bytes each, are broadcast
+SALTS = 64
 PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
 
 
@@ -219,9 +221,23 @@ def _quartiles(rows: DataFrame) -> DataFrame:
     return cells.groupBy("g").applyInPandas(estimate, STATE)
 
 
-def _other_starts(rows: DataFrame, first: DataFrame) -> DataFrame:
+def _met(rows: DataFrame, states: DataFrame, few: bool) -> DataFrame:
+    """Rows with every state of their group, dealt so that a sum by group combines in many tasks.
+
+    Up to ``FEW`` groups, some megabytes of numbers, states are broadcast and rows stay where they are. Beyond it the
+    join is salted by the task that read a row: a join on the group alone would deal all rows of a
+    group to one task, and the sum that follows would take that dealing as its own.
+    """
+    if few:
+        return rows.join(F.broadcast(states), "g")
+    salted = rows.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    every = states.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(every, ["g", "salt"]).drop("salt")
+
+
+def _other_starts(rows: DataFrame, first: DataFrame, few: bool) -> DataFrame:
     """The three starts from moments of values in units of the first start: as they are, squashed, and at length one."""
-    z = rows.join(first.select("g", "centre", "white"), "g").select("g", F.array(*_whitened()).alias("z"))
+    z = _met(rows, first.select("g", "centre", "white"), few).select("g", F.array(*_whitened()).alias("z"))
     norm = F.sqrt(sum((F.col("z")[i] * F.col("z")[i] for i in range(P)), F.lit(0.0)))
     squashed, direction = F.transform("z", F.tanh), F.transform("z", lambda v: F.when(norm > 0, v / norm).otherwise(0.0))
     forms = F.array(*[F.struct(F.lit(k).alias("start"), u.alias("u")) for k, u in enumerate((F.col("z"), squashed, direction), 1)])
@@ -247,9 +263,9 @@ def shrinking(share: float) -> float:
     return share / chi2_cdf(chi2_quantile(share, P), P + 2)
 
 
-def _step(rows: DataFrame, states: DataFrame, h: float | None, within: float | None) -> DataFrame:
+def _step(rows: DataFrame, states: DataFrame, few: bool, h: float | None, within: float | None) -> DataFrame:
     """One estimate per group and start from the nearest part ``h``, or from the rows ``within`` a distance."""
-    near = rows.join(states.drop("n", "logdet"), "g").withColumn("d", _distance())
+    near = _met(rows, states.drop("n", "logdet"), few).withColumn("d", _distance())
     bins = near.withColumn("bin", F.floor(F.log2(F.col("d") + 1e-6) * 16).cast("int")).groupBy("g", "start", "bin").agg(*_moments("x"))
     last_bin = None if within is None else math.floor(math.log2(within) * 16)
     factor = shrinking(h if h is not None else chi2_cdf(within, P))
@@ -272,17 +288,18 @@ def _least(states: DataFrame) -> DataFrame:
     return states.groupBy("g").agg(F.min_by(own, F.struct(F.round("logdet", 6), "start")).alias("own")).select("g", "own.*")
 
 
-def fit(stats: DataFrame, h: float = 0.75, steps: int = 4) -> DataFrame:
+def fit(stats: DataFrame, h: float = 0.75, steps: int = 4, few_groups: int = FEW) -> DataFrame:
     """``stats(lang, source, quality)`` of all documents to one row of centre and whitening matrix per group."""
     usable = stats.filter(~base_failed())
     vector = F.array(*[F.col("quality")[f] for f in FEATURES])
     rows = usable.select(F.explode(_levels()).alias("g"), vector.alias("x"))
     first = materialize(_quartiles(rows), "mcd-quartiles")
-    states = materialize(first.unionByName(_other_starts(rows, first)), "mcd-starts")
+    few = first.limit(few_groups + 1).count() <= few_groups
+    states = materialize(first.unionByName(_other_starts(rows, first, few)), "mcd-starts")
     for _ in range(steps):
-        states = materialize(_step(rows, states, h, None), "mcd-step")
+        states = materialize(_step(rows, states, few, h, None), "mcd-step")
     states = materialize(_least(states), "mcd-least")
-    return materialize(_step(rows, states, None, chi2_quantile(0.975, P)), "mcd-fit")
+    return materialize(_step(rows, states, few, None, chi2_quantile(0.975, P)), "mcd-fit")
 
 
 def judge(stats: DataFrame, states: DataFrame, quantile: float = 0.9999, least_rows: int = 20 * P) -> DataFrame:

@@ -131,6 +131,16 @@ def graded(spark):
     return quality.with_statistics(docs, keep=["doc_id", "lang", "source"]).persist()
 
 
+def test_salted_join_of_many_groups_gives_the_same_estimates(spark):
+    stats = graded(spark)
+    near, far = ({r.g: r for r in quality.fit(stats, steps=2, few_groups=k).collect()} for k in (quality.FEW, 0))
+    assert near.keys() == far.keys() and "all" in near
+    for g in near:
+        assert near[g].n == far[g].n
+        np.testing.assert_allclose(near[g].centre, far[g].centre, atol=1e-9)
+        np.testing.assert_allclose(near[g].white, far[g].white, rtol=1e-6, atol=1e-6)
+
+
 def test_estimates_and_verdicts_equal_plain_concentration_steps(spark):
     stats = graded(spark)
     states = quality.fit(stats)
