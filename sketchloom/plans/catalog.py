@@ -14,6 +14,7 @@ from sketchloom.functions.seq import canonical, dna_projection, explode_shingles
 from sketchloom.operators import (
     blocks,
     cluster,
+    linkage,
     lookup,
     maintenance,
     membership,
@@ -356,6 +357,17 @@ def joined_clusters(spark, folder):
     return cluster.cluster_sketches(_sketches(spark, folder), t.N, NEAR, names=_names(spark, folder), joined=True)
 
 
+@register
+def linkage_cut(spark, folder):
+    """Single linkage from the weaker links, cut where only the stronger ones hold."""
+    merges, groups = linkage.sketch_linkage(_sketches(spark, folder), t.N, LINK, "single")
+    heads = groups.where("name = representative").select("name")
+    found = linkage.cut(heads, merges, 1 - NEAR).select(F.col("name").alias("representative"), "cluster")
+    placed = groups.join(found, "representative").select("name", "cluster")
+    alone = _names(spark, folder).select("name").join(groups, "name", "left_anti")
+    return placed.unionByName(alone.select("name", F.col("name").alias("cluster")))
+
+
 @register
 def cluster_components(spark, folder):
     return _clusters(spark, folder)

@@ -376,6 +376,7 @@ def oracle() -> dict[str, str]:
         "similar_count_pairs": f"""with {pairs()} select i as name_i, j as name_j, round(mass_j / total_j, 9) as cell_ij,
             round(mass_i / total_i, 9) as cell_ji from cell where common_ji > 0 and (common_ij / size_i >= {c.NEAR} or common_ji / size_j >= {c.NEAR})""",
         "joined_clusters": f"with recursive {pairs()}, {clusters(c.NEAR)} select name, cluster from cl",
+        "linkage_cut": f"with recursive {pairs()}, {clusters(c.NEAR)} select name, cluster from cl",
         "cluster_components": f"with recursive {pairs()}, {CLUSTERS} select name, cluster from cl",
         "cluster_lca": f"with recursive {pairs()}, {CLUSTERS}, {LINEAGE}, {LCA} select cluster, size, lca from lca",
         "cluster_fasta_records": f"""with recursive {pairs()}, {CLUSTERS}, {LINEAGE}, {LCA}
