@@ -100,7 +100,7 @@ def stands_at(words: list[str], i: Column) -> Column:
 
 
 def scanned(docs: DataFrame, templates: list[Template], phrases: tuple[tuple[str, str], ...], keep: list[str], text_col: str) -> DataFrame:
-    """``row, digest, n_words, starts`` (places of each base phrase) and ``blocks`` (the template words of each that has enough)."""
+    """``row, digest, n_words, starts`` (places of each base phrase), ``blocks`` (the template words of each that has enough) and ``held`` (all template words)."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.md5(text).alias("digest"), words_of(text).alias("words"))
     # Generated, so that a text is cut into words once and not again for every reference.
@@ -117,13 +117,15 @@ def scanned(docs: DataFrame, templates: list[Template], phrases: tuple[tuple[str
         return F.transform(F.filter(kept, lambda x: F.size(x) >= least), lambda x: F.struct(F.lit(step).alias("step"), x.alias("words")))
 
     seen = F.flatten(F.array(*[blocks(s) for s in sorted({t.step for t in templates})])) if templates else F.array().cast("array<struct<step:int,words:array<string>>>")
-    return rows.select("row", "digest", F.col("n").cast("bigint").alias("n_words"), F.array(*starts).alias("starts"), seen.alias("blocks"))
+    every = sorted(frozenset().union(*(t.words for t in templates)))
+    held = F.filter("words", lambda w: w.isin(every)) if every else F.array().cast("array<string>")
+    return rows.select("row", "digest", F.col("n").cast("bigint").alias("n_words"), F.array(*starts).alias("starts"), seen.alias("blocks"), held.alias("held"))
 
 
-def ranked_words(docs: DataFrame, templates: list[Template], text_col: str) -> list[str]:
-    """The templates' words, the rarest in the documents first: no more than the templates have."""
+def ranked_words(rows: DataFrame, templates: list[Template]) -> list[str]:
+    """The templates' words, the rarest in the documents (``held`` of :func:`scanned`) first: no more than the templates have."""
     vocabulary = sorted(frozenset().union(*(t.words for t in templates)))
-    found = docs.select(F.explode(words_of(F.col(f"`{text_col}`"))).alias("word")).filter(F.col("word").isin(vocabulary))
+    found = rows.select(F.explode("held").alias("word"))
     many = {r.word: r.many for r in found.groupBy("word").agg(F.count(F.lit(1)).alias("many")).collect()}
     return sorted(vocabulary, key=lambda w: (many.get(w, 0), w))
 
@@ -177,7 +179,7 @@ def scan(
     none = F.array().cast("array<string>")
     found = rows.select("digest", F.inline("blocks"))
     if templates:
-        found = matches(found, templates, ranked_words(docs, templates, text_col)).groupBy("digest")
+        found = matches(found, templates, ranked_words(rows, templates)).groupBy("digest")
     else:
         found = found.select("digest", F.lit("").alias("label"), F.lit(0.0).alias("share")).filter("false").groupBy("digest")
     found = found.agg(F.collect_set("label").alias("matched"), F.max("share").alias("best"))
@@ -185,7 +187,7 @@ def scan(
     named = [F.when(F.size(F.col("starts")[k]) > 0, F.lit(label)) for k, (_, label) in enumerate(phrases)]
     base = F.array_sort(F.array_distinct(F.array_compact(F.array(*named))))
     score = F.when(F.size(places) > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0)))
-    return rows.drop("blocks").join(found, "digest", "left").select(
+    return rows.drop("blocks", "held").join(found, "digest", "left").select(
         "row",
         "n_words",
         F.size(places).cast("bigint").alias("n_base"),
