@@ -10,7 +10,7 @@
    others each task gets the list of those that it has, by file.
 4. Tasks look at their blocks again. The occurrences of a listed fingerprint are compared, word by word, with the first
    one of the block, and where two texts share a fingerprint they are told apart. Only these phrases become strings,
-   counted per block and added up by (language, phrase): the counts are those of texts, not of fingerprints.
+   counted per block, added up in the task and then by (language, phrase): the counts are those of texts, not of fingerprints.
 
 Every part of a frequent phrase is frequent too, so cuts find their counts among the phrases that are left.
 
@@ -242,8 +242,18 @@ def word_numbers(p: Phrases) -> tuple[np.ndarray, pa.Array]:
 COUNTED = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("count", pa.int64())])
 
 
+ADDED = 1 << 20  # rows that a task adds up before it sends them
+
+
+def added(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """The counts of all blocks held, a row for each phrase."""
+    keys = ["lang", "phrase", "words"]
+    whole = pa.Table.from_batches(held, COUNTED).group_by(keys).aggregate([("count", "sum")])
+    return whole.select([*keys, "count_sum"]).rename_columns(COUNTED.names).cast(COUNTED).combine_chunks().to_batches()[0]
+
+
 def counted(blocks: DataFrame, uri: str, longest: int, bits: int) -> DataFrame:
-    """``lang, phrase, words, count`` of the listed phrases in every block; words = 0 counts all words."""
+    """``lang, phrase, words, count`` of the listed phrases, added up over blocks in the task; words = 0 counts all words."""
 
     def rows(p: Phrases, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
         number, words = word_numbers(p)
@@ -272,6 +282,7 @@ def counted(blocks: DataFrame, uri: str, longest: int, bits: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand, at, wanted = zstandard.ZstdDecompressor(), None, np.zeros(0, dtype=np.uint64)
+        held: list[pa.RecordBatch] = []
         for batch in batches:
             for group, data, langs, sizes, owns in zip(*(batch.column(c) for c in PACKED.names), strict=True):
                 if group.as_py() != at:
@@ -279,7 +290,13 @@ def counted(blocks: DataFrame, uri: str, longest: int, bits: int) -> DataFrame:
                     wanted = list_of(uri, at)
                 p = phrases(expand.decompress(data.as_py()), langs.as_py(), sizes.as_py(), owns.as_py())
                 if len(p.starts):
-                    yield from rows(p, wanted)
+                    held += rows(p, wanted)
+                    if sum(b.num_rows for b in held) >= ADDED:
+                        held = [added(held)]
+                        if held[0].num_rows > ADDED // 2:
+                            yield held.pop()
+        if held:
+            yield added(held)
 
     return blocks.mapInArrow(run, "lang string, phrase string, words int, count bigint")
 
