@@ -84,3 +84,15 @@ def test_whole_sketches_compare_as_entries(spark, rng):
     for compare in (similarity.capped_overlap, similarity.union_overlap, lambda f, o, n, names: similarity.plain_overlap(f, o, names)):
         got = [sorted(map(tuple, compare(focal, o, 9, names=names).collect())) for o in (sketch.bottom_n(rows, spec), sketch.bottom_sets(rows, spec))]
         assert got[0] == got[1] and len(got[0]) == len(data)
+
+
+def test_the_index_is_summed_up_where_it_is_made(spark, tmp_path):
+    from sketchloom.plans.catalog import QUERIES
+
+    rows = [(i, "some words of text number " + str(i) * 9, "en", "a", 30) for i in range(5)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    frame = QUERIES["prefix_index"](spark, str(tmp_path))
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    # Above the explosion into index rows nothing is shuffled.
+    assert "Exchange" not in plan[: plan.index("Generate explode(filter") if "Generate explode(filter" in plan else plan.index("Generate")]
+    assert {r["name"] for r in frame.collect()} == {str(i) for i in range(5)}
