@@ -10,7 +10,8 @@
    others each task gets the list of those that it has, by file.
 4. Tasks look at their blocks again. The occurrences of a listed fingerprint are compared, word by word, with the first
    one of the block, and where two texts share a fingerprint they are told apart. Only these phrases become strings,
-   counted per block, added up in the task and then by (language, phrase): the counts are those of texts, not of fingerprints.
+   counted per block, added up in the task and then, bundled by part, by (language, phrase): the counts are those of texts,
+   not of fingerprints, and phrases are rows only once they are added up.
 
 Every part of a frequent phrase is frequent too, so cuts find their counts among the phrases that are left.
 
@@ -242,24 +243,54 @@ def word_numbers(p: Phrases) -> tuple[np.ndarray, pa.Array]:
 COUNTED = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("count", pa.int64())])
 
 
-ADDED = 1 << 20  # rows that a task adds up before it sends them
+ADDED = 1 << 20  # phrases that a task adds up before it sends them
 
-
-def added(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-    """The counts of all blocks held, a row for each phrase."""
-    keys = ["lang", "phrase", "words"]
-    whole = pa.Table.from_batches(held, COUNTED).group_by(keys).aggregate([("count", "sum")])
-    return whole.select([*keys, "count_sum"]).rename_columns(COUNTED.names).cast(COUNTED).combine_chunks().to_batches()[0]
+BUNDLES = pa.schema([("part", pa.int32()), ("rows", pa.binary())])
 
 
-def counted(blocks: DataFrame, uri: str, longest: int, bits: int) -> DataFrame:
-    """``lang, phrase, words, count`` of the listed phrases, added up over blocks in the task; words = 0 counts all words."""
+def added(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """The counts of all batches held, a row for each phrase."""
+    keys = [name for name in held[0].schema.names if name != "count"]
+    whole = pa.Table.from_batches(held).group_by(keys).aggregate([("count", "sum")])
+    return whole.select([*keys, "count_sum"]).rename_columns([*keys, "count"]).cast(held[0].schema).combine_chunks().to_batches()[0]
+
+
+def bundled(counts: pa.RecordBatch) -> pa.RecordBatch:
+    """The counts of ``part`` and the columns of ``COUNTED`` as a compressed row for each part."""
+    ordered = counts.sort_by([(name, "ascending") for name in ("part", "lang", "phrase")])
+    numbers = ordered["part"].to_numpy()
+    edges = np.append(np.flatnonzero(np.append(True, numbers[1:] != numbers[:-1])), len(numbers)).tolist()
+    shrink, plain, rows = zstandard.ZstdCompressor(level=1), ordered.select(COUNTED.names), []
+    for start, end in zip(edges[:-1], edges[1:], strict=True):
+        # Taken, not sliced: a slice would be written with the buffers of all.
+        batch, sink = plain.take(pa.array(np.arange(start, end))), pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, COUNTED) as writer:
+            writer.write_batch(batch)
+        rows.append(shrink.compress(sink.getvalue().to_pybytes()))
+    return pa.RecordBatch.from_arrays([pa.array(numbers[edges[:-1]], pa.int32()), pa.array(rows, pa.binary())], schema=BUNDLES)
+
+
+def unbundled(pieces: pa.Table) -> pa.Table:
+    """The counts of one part, added up over all tasks."""
+    expand = zstandard.ZstdDecompressor()
+    return pa.Table.from_batches([added([b for row in pieces["rows"] for b in pa.ipc.open_stream(expand.decompress(row.as_py()))])])
+
+
+def counted(blocks: DataFrame, uri: str, longest: int, bits: int, parts: int = 1) -> DataFrame:
+    """``lang, phrase, words, count`` of the listed phrases; words = 0 counts all words.
+
+    Counts are added up over blocks in the task. As most tasks have most frequent phrases, tasks send them bundled, a row for
+    each part of the fingerprints, and phrases become rows when their part is added up.
+    """
+    edges = part_edges(parts, bits)
+    schema = pa.schema([BUNDLES.field("part"), *COUNTED])
 
     def rows(p: Phrases, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
         number, words = word_numbers(p)
         langs = pa.array(p.langs, pa.string())
         total = np.bincount(p.lang[p.own], minlength=len(p.langs))
-        yield pa.RecordBatch.from_arrays([langs, pa.array([""] * len(p.langs)), pa.array([0] * len(p.langs), pa.int32()), pa.array(total, pa.int64())], schema=COUNTED)
+        zeros = pa.array([0] * len(p.langs), pa.int32())
+        yield pa.RecordBatch.from_arrays([zeros, langs, pa.array([""] * len(p.langs)), zeros, pa.array(total, pa.int64())], schema=schema)
         for n, at, prints in fingerprints(p, longest):
             short = prints >> np.uint64(64 - bits)
             listed = wanted[np.minimum(np.searchsorted(wanted, short), len(wanted) - 1)] == short if len(wanted) else np.zeros(len(short), dtype=bool)
@@ -273,12 +304,16 @@ def counted(blocks: DataFrame, uri: str, longest: int, bits: int) -> DataFrame:
                 other |= number[at + k] != number[leader + k][group]
             count = np.bincount(group[~other], minlength=len(leader))
             apart: dict[tuple, list[int]] = {}
-            for word in at[other].tolist():  # another text of the same fingerprint
-                apart.setdefault((p.lang[word], *number[word : word + n].tolist()), []).append(word)
-            leader = np.append(leader, np.array([x[0] for x in apart.values()], dtype=np.int64))
+            for place in np.flatnonzero(other).tolist():  # another text of the same fingerprint
+                word = at[place]
+                apart.setdefault((p.lang[word], *number[word : word + n].tolist()), []).append(place)
+            first = np.append(first, np.array([x[0] for x in apart.values()], dtype=np.int64))
+            leader = at[first]
             count = np.append(count, np.array([len(x) for x in apart.values()], dtype=np.int64))
             text = pc.binary_join_element_wise(*[words.take(pa.array(number[leader + k])) for k in range(n)], " ")
-            yield pa.RecordBatch.from_arrays([langs.take(pa.array(p.lang[leader])), text, pa.array(np.full(len(leader), n, dtype=np.int32)), pa.array(count)], schema=COUNTED)
+            # Equal texts have equal fingerprints, so a phrase is in one part.
+            part = (np.searchsorted(edges, prints[first] >> np.uint64(64 - bits), side="right") - 1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(part), langs.take(pa.array(p.lang[leader])), text, pa.array(np.full(len(leader), n, dtype=np.int32)), pa.array(count)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand, at, wanted = zstandard.ZstdDecompressor(), None, np.zeros(0, dtype=np.uint64)
@@ -294,11 +329,12 @@ def counted(blocks: DataFrame, uri: str, longest: int, bits: int) -> DataFrame:
                     if sum(b.num_rows for b in held) >= ADDED:
                         held = [added(held)]
                         if held[0].num_rows > ADDED // 2:
-                            yield held.pop()
+                            yield bundled(held.pop())
         if held:
-            yield added(held)
+            yield bundled(added(held))
 
-    return blocks.mapInArrow(run, "lang string, phrase string, words int, count bigint")
+    bundles = blocks.mapInArrow(run, "part int, rows binary")
+    return bundles.groupBy("part").applyInArrow(unbundled, "lang string, phrase string, words int, count bigint")
 
 
 def frequent(docs: DataFrame, min_count: int, longest: int, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -314,7 +350,7 @@ def frequent(docs: DataFrame, min_count: int, longest: int, text_col: str = "tex
     bits = min(max(24, math.ceil(math.log2(max(size, 1) * longest / 5)) + 3), 64 - COUNT_BITS + int(math.log2(parts)))
     blocks = packed(rows, longest - 1)
     lists = frequent_files(sent(blocks, longest, bits, parts), min_count, bits, parts)
-    found = counted(blocks, lists, longest, bits).groupBy("lang", "phrase", "words").agg(F.sum("count").alias("count"))
+    found = counted(blocks, lists, longest, bits, parts)
     return materialize(found.filter((F.col("words") == 0) | (F.col("count") >= min_count)), "phrase-counts")
 
 

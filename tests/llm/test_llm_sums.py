@@ -19,6 +19,33 @@ def test_counts_of_blocks_are_added_up_in_the_task(spark, monkeypatch):
     assert len(rows) == len(got)
 
 
+def test_phrases_become_rows_once_they_are_added_up(spark):
+    """Tasks send a row for each part, whatever the number of phrases; every phrase is a row once, however many tasks have it."""
+    words = [a + b for a in "abcdefgh" for b in "abcdefgh"]
+    docs = spark.createDataFrame([("en", " ".join(words))] * 120, "lang string, text string").repartition(6)
+    blocks = collocations.packed(docs, 1)
+    lists = collocations.frequent_files(collocations.sent(blocks, 2, 30, 3), 100, 30, 3)
+    frame = collocations.counted(blocks.repartition(6), lists, 2, 30, 3)
+    rows = frame.collect()
+    got = {r["phrase"]: r["count"] for r in rows}
+    assert len(rows) == len(got) == 64 + 63 + 1 and got.pop("") == 64 * 120 and set(got.values()) == {120}
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    sent = plan[plan.rindex("Exchange") :]
+    assert "phrase" not in sent[: sent.index("Scan")]
+
+
+def test_bundles_hold_a_part_each():
+    rows = [(1, "en", "a b", 2, 3), (0, "de", "a b", 2, 1), (1, "en", "é", 1, 4)]
+    schema = pa.schema([collocations.BUNDLES.field("part"), *collocations.COUNTED])
+    counts = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+    bundles = collocations.bundled(counts)
+    assert bundles["part"].to_pylist() == [0, 1]
+    for part in (0, 1):
+        twice = pa.Table.from_batches([bundles.slice(part, 1)] * 2)
+        got = sorted(tuple(r.values()) for r in collocations.unbundled(twice).to_pylist())
+        assert got == sorted((*r[1:4], 2 * r[4]) for r in rows if r[0] == part)
+
+
 def test_added_keeps_texts_apart():
     rows = [("en", "a b", 2, 3), ("de", "a b", 2, 1), ("en", "a b", 2, 4), ("en", "", 0, 9)]
     held = [pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(r, collocations.COUNTED, strict=True)], schema=collocations.COUNTED) for r in rows]
