@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sketchloom.functions.numbers import cap_k_range, clamp_location, expected_threshold
 from sketchloom.functions.seq import HASHERS
-from sketchloom.operators import maintenance, membership, multik, postprocess, superkmers, taxonomy, truth
+from sketchloom.operators import maintenance, membership, multik, postprocess, superkmers, taxonomy, truth, wholesets
 from sketchloom.operators.sketch import SketchSpec
 from sketchloom.session import materialize
 from sketchloom.sources import results as sink
@@ -149,7 +149,7 @@ def ground_truth(
     at = clamp_location(location, ks)
     training, asked = read_sequences(spark, paths), read_sequences(spark, query)
     if max(ks) <= superkmers.LONGEST:
-        exact = superkmers.containment(training, asked, ks)
+        exact = wholesets.containment(training, asked, ks)
     else:
         exact = truth.true_containment(truth.distinct_shingles(training, ks), truth.distinct_shingles(asked, ks))
     frame = multik.wide(exact, ks)
