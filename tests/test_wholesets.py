@@ -72,3 +72,13 @@ def test_only_strands_that_begin_like_the_sample_are_cut(spark):
     every = multik.prefix_index(entries, [3, 5]).collect()
     got = multik.prefix_index(entries, [3, 5], starts).collect()
     assert sorted(got) == sorted(r for r in every if r["key"][:3] in ("ACG", "GGG")) and len(got) == 4 < len(every)
+
+
+def test_a_stored_index_is_dealt_once_to_be_summed_up(spark, tmp_path):
+    from sketchloom.plans.catalog import QUERIES
+
+    rows = [(i, "some words of text number " + str(i) * 9) for i in range(5)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    frame = QUERIES["index_round_trip"](spark, str(tmp_path))
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and {r["name"] for r in frame.collect()} == {str(i) for i in range(5)}
