@@ -288,6 +288,27 @@ def test_similarity_join_equals_the_matrix(spark, rng, monkeypatch):
         simjoin.similar_pairs(entries, 8, 0.0)
 
 
+def test_pairs_that_meet_too_seldom_are_no_candidates(spark):
+    data = {"a": [0, *range(100, 112), *range(1000, 1007)], "b": [0, *range(200, 212), *range(1010, 1017)]}
+    data |= {f"f{i}": [100 + i, 200 + i, *range(2000 + 20 * i, 2018 + 20 * i)] for i in range(12)}
+    data |= {"c": [*range(5000, 5012), *range(6000, 6008)], "d": [*range(5000, 5012), *range(7000, 7008)]}
+    found = simjoin.candidate_pairs(simjoin.ranked(entries_of(spark, data)), 0.5).collect()
+    assert [(r["small"], r["large"]) for r in found] == [("c", "d")]
+
+
+def test_pairs_in_many_cells(spark, rng, monkeypatch):
+    for name, value in (("HOME", 5), ("PAIRS", 7), ("SLAB", 40)):
+        monkeypatch.setattr(simjoin, name, value)
+    data = {f"s{i}": {1: 2} | {h: 1 + h % 3 for h in rng.sample(range(2, 40), 7)} for i in range(20)}
+    entries = entries_of(spark, data)
+    sets = similarity.as_sets(entries)
+    ids = [r["id"] for r in simjoin.homes(sets).collect()]
+    assert len(set(ids)) == 20 and len({i >> 32 for i in ids}) > 1
+    full = {(r["name_i"], r["name_j"]): r for r in blocks.pair_table(entries, 20, 8).collect()}
+    got = simjoin.similar_pairs(entries, 8, 0.3).collect()
+    assert {(r["name_i"], r["name_j"]): r for r in got} == {k: r for k, r in full.items() if max(r["common_ij"], r["common_ji"]) >= 0.3 * 8} and len(got) > 30
+
+
 def test_cardinality_from_the_sketch_itself(spark, rng):
     data = {"big": dna(rng, 30_000), "small": dna(rng, 90), "none": "NNN"}
     spec = sketch.SketchSpec(n=400, ksize=15)
