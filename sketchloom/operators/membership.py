@@ -104,6 +104,10 @@ def above(results: DataFrame, threshold: float) -> DataFrame:
     return results.where(index > threshold).orderBy(index.desc(), "name")
 
 
+def _letters(sequences: DataFrame) -> int:
+    return sequences.agg(F.sum(F.length("seq"))).first()[0] or 0
+
+
 def query_membership(
     meta: DataFrame,
     entries: DataFrame,
@@ -118,6 +122,8 @@ def query_membership(
     With ``training`` sequences the sample is first restricted to their shingles. An estimated
     sample size (``exact_size=False``) avoids shuffling the distinct sample: the only pass over it
     is then a filtered scan.
+
+    The distinct shingles of a sample of up to ``BROADCAST_ROWS`` letters go to the sketches, which are not shuffled then.
     """
     entries = materialize(entries, "entries")
     if training is not None:
@@ -126,6 +132,9 @@ def query_membership(
         )
         sample = materialize(sample, "sample")
         size = sample.agg(F.count("*").alias("sample_size"))
+    elif exact_size and _letters(sequences) <= BROADCAST_ROWS:
+        sample = materialize(sample_set(sequences, spec, strand_neutral), "sample")
+        return membership(meta, entries, F.broadcast(sample), sample.count(), strand_neutral=strand_neutral)
     else:
         sample = sample_grams(sequences, spec, strand_neutral)
         size = (

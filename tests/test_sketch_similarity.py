@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from sketchloom.operators import blocks, cluster, lookup, maintenance, similarity, simjoin, sketch
+from sketchloom.operators import blocks, cluster, lookup, maintenance, membership, similarity, simjoin, sketch
 from sketchloom.operators.sketch import SketchSpec
 from tests.conftest import dna, entries_of, flip, grams, sets
 
@@ -309,6 +309,21 @@ def test_pairs_in_many_cells(spark, rng, monkeypatch):
     assert {(r["name_i"], r["name_j"]): r for r in got} == {k: r for k, r in full.items() if max(r["common_ij"], r["common_ji"]) >= 0.3 * 8} and len(got) > 30
 
 
+@pytest.mark.parametrize("neutral", [False, True])
+def test_a_small_sample_goes_to_the_sketches(spark, rng, monkeypatch, neutral):
+    data = {f"s{i}": dna(rng, 60) for i in range(4)} | {"none": "NN"}
+    sample = sets(spark, {"x": [data["s0"][:40] + "N" + flip(data["s1"]), dna(rng, 30), "ac"]})
+    spec = SketchSpec(n=20, ksize=7)
+    db = maintenance.build(sets(spark, data), spec, exact=True)
+    tags, write = [], membership.materialize
+    monkeypatch.setattr(membership, "materialize", lambda df, tag: tags.append(tag) or write(df, tag))
+    ask = lambda: sorted(map(tuple, membership.query_membership(db.meta, db.entries, sample, spec, strand_neutral=neutral).collect()))
+    small = ask()
+    assert tags == ["entries", "sample"]
+    monkeypatch.setattr(membership, "BROADCAST_ROWS", 5)
+    assert ask() == small and "wanted" in tags
+
+
 def test_cardinality_from_the_sketch_itself(spark, rng):
     data = {"big": dna(rng, 30_000), "small": dna(rng, 90), "none": "NNN"}
     spec = sketch.SketchSpec(n=400, ksize=15)
