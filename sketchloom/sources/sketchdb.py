@@ -83,10 +83,19 @@ def _stored(spark: SparkSession, paths: list[str]) -> Database:
 
 def export_database(db: Database, path: str) -> None:
     """Write a new database; a name may occur once. Fails if ``path`` exists."""
-    maintenance.require_unique_names(db.meta)
+    if not db.made:  # names are grouped where a database is built
+        maintenance.require_unique_names(db.meta)
     db.meta.write.parquet(f"{path}/meta")
-    # Range-clustered by name, so that reading a few sketches skips most row groups.
-    db.entries.repartitionByRange("name").sortWithinPartitions("name", "slot").write.parquet(f"{path}/entries")
+    _clustered(db).write.option("compression", "zstd").parquet(f"{path}/entries")
+
+
+def _clustered(db: Database) -> DataFrame:
+    """Entries sorted by name, so that reading a few sketches skips most row groups.
+
+    Stored sketches are dealt by ranges of names. Those just made lie together by name, and are not shuffled, nor made
+    twice, for ranges.
+    """
+    return (db.entries if db.made else db.entries.repartitionByRange("name")).sortWithinPartitions("name", "slot")
 
 
 def import_database(spark: SparkSession, path: str | list[str], names: list[str] | DataFrame | None = None) -> Database:
@@ -143,8 +152,7 @@ def append_to(spark: SparkSession, path: str, sequences: DataFrame, spec: Sketch
     own = _next(spark, path, ADDED)
     number = F.lit(own.number).cast("bigint").alias("added")
     added.meta.select("*", number).write.parquet(f"{path}/{own.folder}/meta")
-    entries = added.entries.repartitionByRange("name").sortWithinPartitions("name", "slot")
-    entries.select("*", number).write.parquet(f"{path}/{own.folder}/entries")
+    _clustered(added).select("*", number).write.option("compression", "zstd").parquet(f"{path}/{own.folder}/entries")
     _log(spark, path, own)
 
 
