@@ -16,13 +16,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sketchloom.operators.sketch import as_sets
+from sketchloom.session import materialize
+
 BLOCK = 256
 
 
 def distinct_sketches(entries: DataFrame) -> DataFrame:
-    """Group identical sketches: ``(name, representative)``, the representative being the least name."""
-    content = F.array_sort(F.collect_list(F.struct("h", "cnt")))
-    signed = entries.groupBy("name").agg(content.alias("content")).select("name", F.sha2(F.to_json("content"), 256).alias("sig"))
+    """Group identical sketches: ``(name, representative)``, the representative being the least name.
+
+    Signatures are written, as they are read twice; sketches are neither written nor, as sets, shuffled.
+    """
+    sets = as_sets(entries).select("name", F.arrays_zip(F.col("hs").alias("h"), F.col("cs").alias("cnt")).alias("content"))
+    signed = materialize(sets.select("name", F.sha2(F.to_json("content"), 256).alias("sig")), "signed")
     representative = signed.groupBy("sig").agg(F.min("name").alias("representative"))
     return signed.join(representative, "sig").select("name", "representative")
 
