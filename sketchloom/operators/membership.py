@@ -22,8 +22,11 @@ def sample_set(sequences: DataFrame, spec: SketchSpec, strand_neutral: bool = Fa
 
 
 def restrict_to_training(sample: DataFrame, training: DataFrame) -> DataFrame:
-    """Keep the sample shingles that occur anywhere in the training sets (both as distinct shingles)."""
-    return sample.join(training, "kmer", "left_semi")
+    """Keep the shingles of a sample (distinct) that occur anywhere in the training sets (occurrences or distinct ones).
+
+    A sample of up to ``BROADCAST_ROWS`` shingles filters the training sets where they are scanned; their own shingles are not shuffled.
+    """
+    return distinct_hits(training, materialize(sample, "asked"), ["kmer"])
 
 
 def distinct_hits(occurrences: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
@@ -123,16 +126,17 @@ def query_membership(
     sample size (``exact_size=False``) avoids shuffling the distinct sample: the only pass over it
     is then a filtered scan.
 
-    The distinct shingles of a sample of up to ``BROADCAST_ROWS`` letters go to the sketches, which are not shuffled then.
+    The distinct shingles of a sample of up to ``BROADCAST_ROWS`` letters, or as many that are left of it, go to the sketches, which are not shuffled then.
     """
-    entries = materialize(entries, "entries")
     if training is not None:
-        sample = restrict_to_training(
-            sample_set(sequences, spec, strand_neutral), sample_set(training, spec, strand_neutral)
-        )
+        sample = restrict_to_training(sample_set(sequences, spec, strand_neutral), sample_grams(training, spec, strand_neutral))
         sample = materialize(sample, "sample")
-        size = sample.agg(F.count("*").alias("sample_size"))
-    elif exact_size and _letters(sequences) <= BROADCAST_ROWS:
+        if (left := sample.count()) <= BROADCAST_ROWS:
+            return membership(meta, entries, F.broadcast(sample), left, strand_neutral=strand_neutral)
+        size, entries = sample.agg(F.count("*").alias("sample_size")), materialize(entries, "entries")
+        return membership(meta, entries, sketch_hits(entries, sample, spec, strand_neutral), size, strand_neutral=strand_neutral)
+    entries = materialize(entries, "entries")
+    if exact_size and _letters(sequences) <= BROADCAST_ROWS:
         sample = materialize(sample_set(sequences, spec, strand_neutral), "sample")
         return membership(meta, entries, F.broadcast(sample), sample.count(), strand_neutral=strand_neutral)
     else:

@@ -1,6 +1,6 @@
 """FASTA by byte ranges, as a Spark data source: a chromosome is many rows, read by many tasks.
 
-Files are cut into ranges of ``step`` bytes; each is a partition. A range tells from the bytes before it
+Files are cut into ranges of ``step`` bytes; a partition is a range, or a run of short neighbouring ones. A range tells from the bytes before it
 whether it begins inside a header, finds its own record starts, and gives its letters in pieces of
 ``piece``, each with ``overlap`` letters of what follows, also beyond the range. A piece that goes on in a record of an
 earlier range has no header yet; :func:`with_records` fills it in from the last header before it, which needs one
@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from sketchloom.functions.seq import PIECE
+from sketchloom.session import materialize, small_or_shuffled
 
 STEP = 32 << 20
+RUN = 32 << 20  # bytes of neighbouring ranges that one task reads, at most, where ranges are shorter
 HEADER = 64 << 10
 TAIL = 16 << 10
 BATCH = 4 << 20  # letters a batch
@@ -166,12 +168,12 @@ class FastaRanges(DataSource):
 class RangeReader(DataSourceReader):
     def __init__(self, options):
         self.paths = json.loads(options["paths"])
-        self.step, self.piece, self.overlap = (int(options.get(c, d)) for c, d in (("step", STEP), ("piece", PIECE), ("overlap", 0)))
+        self.step, self.piece, self.overlap, self.tasks = (int(options.get(c, d)) for c, d in (("step", STEP), ("piece", PIECE), ("overlap", 0), ("tasks", 1)))
         if self.step < 1 or self.piece < 1 or self.overlap < 0:
             raise ValueError("step and piece are at least 1, overlap at least 0")
 
     def partitions(self) -> list[Range]:
-        out = []
+        out, whole = [], []
         for item in self.paths:
             system, path = resolve(item)
             info = system.get_file_info(path)
@@ -182,8 +184,13 @@ class RangeReader(DataSourceReader):
                 if f.type != fs.FileType.File or f.base_name[0] in "._":
                     continue
                 uri = f.path if isinstance(system, fs.LocalFileSystem) else f"{item.split('://')[0]}://{f.path}"
-                out += [Range(uri, 0, -1)] if codec_of(f.path) else [Range(uri, a, min(a + self.step, f.size)) for a in range(0, f.size, self.step)]
-        return out
+                if codec_of(f.path):
+                    out.append(Range(uri, 0, -1))
+                else:
+                    whole.append((uri, f.size))
+        # A few tasks for each core, of whole ranges.
+        run = self.step * max(1, min(RUN, sum(size for _, size in whole) // (4 * self.tasks)) // self.step)
+        return out + [Range(uri, a, min(a + run, size)) for uri, size in whole for a in range(0, size, run)]
 
     def read(self, part: Range | None) -> Iterator[pa.RecordBatch]:
         if part is None:  # no file has a byte
@@ -192,7 +199,7 @@ class RangeReader(DataSourceReader):
         try:
             start = part.start
             while part.end >= 0 and start < part.end or part.end < 0 and source.get(start, start + 1):
-                end = part.end if part.end >= 0 else start + self.step
+                end = min(start + self.step, part.end) if part.end >= 0 else start + self.step
                 for row in range_rows(source, part.path, start, end, self.piece, self.overlap):
                     rows.append(row)
                     size += len(row[-1]) + 64
@@ -215,7 +222,7 @@ def read_ranges(spark: SparkSession, paths: str | list[str], overlap: int = 0, s
     """The pieces of FASTA files, read range by range. With ``overlap = k - 1`` every shingle of k letters is in one piece."""
     spark.dataSource.register(FastaRanges)
     given = [paths] if isinstance(paths, str) else list(paths)
-    options = {"paths": json.dumps(given), "step": step, "piece": piece, "overlap": overlap}
+    options = {"paths": json.dumps(given), "step": step, "piece": piece, "overlap": overlap, "tasks": spark.sparkContext.defaultParallelism}
     return spark.read.format("fasta_ranges").options(**options).load()
 
 
@@ -223,8 +230,8 @@ def with_records(rows: DataFrame) -> DataFrame:
     """The pieces with the header of their record: that of the last header in an earlier range where the own range has none before."""
     last = rows.groupBy("path", "start").agg(F.max_by("record", F.when(F.col("record").isNotNull(), F.col("place"))).alias("last"))
     earlier = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
-    known = last.select("path", "start", F.last("last", ignorenulls=True).over(earlier).alias("going"))
-    return rows.join(known, ["path", "start"]).withColumn("record", F.coalesce("record", "going")).drop("going").select(*rows.columns)
+    known = materialize(last.select("path", "start", F.last("last", ignorenulls=True).over(earlier).alias("going")), "going")
+    return rows.join(small_or_shuffled(known), ["path", "start"]).withColumn("record", F.coalesce("record", "going")).drop("going").select(*rows.columns)
 
 
 def whole_records(rows: DataFrame) -> DataFrame:
