@@ -8,10 +8,19 @@ nearest pair of all, one at a time, gives. Rounds grow with the depth of the tre
 Pairs may be sparse: a pair that is not listed has the distance ``absent``, the largest there is, and clusters that
 only such pairs hold apart stay apart, so the result is a forest. Distances are one table, written anew each
 round; only its emptiness reaches the driver.
+
+Single linkage needs no rounds: a pair that lighter ones connect is never merged. Parts of the table drop such pairs each for itself, then fewer and larger
+parts do, until a few pairs for each set are left; those of a connected component are merged in one task, nearest first.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +30,7 @@ from sketchloom.operators.simjoin import similar_pairs
 from sketchloom.session import discard, materialize
 
 METHODS = ("single", "complete", "average", "ward")
+FOLD = 16  # parts of the pairs that become one, once each has dropped what it can
 
 
 def _folded(pairs: DataFrame, sizes: DataFrame, others: DataFrame, method: str, absent: float | None) -> DataFrame:
@@ -41,6 +51,100 @@ def _folded(pairs: DataFrame, sizes: DataFrame, others: DataFrame, method: str,
     return rows.groupBy(F.col("into").alias("x"), "y").agg(d.alias("d")).where("d is not null")
 
 
+def _trees(x: np.ndarray, y: np.ndarray, d: np.ndarray, many: int) -> Iterator[tuple[float, np.ndarray, list[int], list[int]]]:
+    """By rising distance: the pairs at it and the trees of lighter pairs on both sides; all of them are connected before the next."""
+    root = list(range(many))
+
+    def find(a: int) -> int:
+        while root[a] != a:
+            root[a] = root[root[a]]
+            a = root[a]
+        return a
+
+    order = np.argsort(d, kind="stable")
+    at = np.append(np.flatnonzero(np.append(True, d[order][1:] != d[order][:-1])), len(order)) if len(order) else [0]
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        some = order[a:b]
+        left, right = ([find(v) for v in side[some].tolist()] for side in (x, y))
+        yield float(d[some[0]]), some, left, right
+        for u, v in zip(left, right, strict=True):
+            u, v = find(u), find(v)
+            root[max(u, v)] = min(u, v)
+
+
+def _coded(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The sets of a table of pairs in order, and the numbers of both sides."""
+    x, y = (table.column(c).combine_chunks() for c in ("x", "y"))
+    names = pc.unique(pa.concat_arrays([x, y]))
+    names = names.take(pc.sort_indices(names.cast(pa.binary()) if pa.types.is_string(names.type) else names))
+    return names, *(pc.index_in(side, names).to_numpy(zero_copy_only=False).astype(np.int64) for side in (x, y))
+
+
+def _lightest(table: DataFrame) -> DataFrame:
+    """Drop, in each part of the pairs ``(x, y, d)``, those whose sets lighter ones connect."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        part = pa.Table.from_batches(held)
+        names, x, y = _coded(part)
+        keep = [some[np.array(u) != np.array(v)] for _, some, u, v in _trees(x, y, part.column("d").to_numpy(), len(names))]
+        yield from part.take(pa.array(np.sort(np.concatenate([np.zeros(0, np.int64), *keep])))).to_batches()
+
+    return table.mapInArrow(run, table.schema)
+
+
+def _singly(table: DataFrame, clusters: DataFrame) -> DataFrame:
+    """The merges of single linkage from pairs ``(x, y, d)`` and ``clusters(x, n)``; equal distances go by name."""
+    parts = table.rdd.getNumPartitions()
+    while parts > 1:
+        fewer = materialize(_lightest(table), "linkage-light")
+        discard(table)
+        parts = -(-parts // FOLD)
+        table = fewer.coalesce(parts)
+        table.stored_at = fewer.stored_at
+    links = table.select(F.col("x").alias("src"), F.col("y").alias("dst"))
+    placed = components(clusters.select(F.col("x").alias("name")), links)
+    one, two = (clusters.select(F.col("x").alias(c), F.col("n").alias(f"n_{c}")) for c in "xy")
+    whole = table.join(one, "x").join(two, "y").join(placed.withColumnRenamed("name", "x"), "x")
+    kind = table.schema["x"].dataType.simpleString()
+
+    def run(part: pa.Table) -> pa.Table:
+        names, x, y = _coded(part)
+        size = np.zeros(len(names), dtype=np.int64)
+        size[x], size[y] = part.column("n_x").to_numpy(), part.column("n_y").to_numpy()
+        size, out = size.tolist(), []
+        for d, _, left, right in _trees(x, y, part.column("d").to_numpy(), len(names)):
+            near: dict[int, set[int]] = {}
+            for u, v in zip(left, right, strict=True):
+                if u != v:
+                    near.setdefault(u, set()).add(v)
+                    near.setdefault(v, set()).add(u)
+            done: set[int] = set()
+            # The first tree of a group at this distance takes in its neighbours, the least name first.
+            for u in sorted(near):
+                if u in done:
+                    continue
+                done.add(u)
+                ahead = list(near[u])
+                heapify(ahead)
+                while ahead:
+                    v = heappop(ahead)
+                    if v not in done:
+                        done.add(v)
+                        size[u] += size[v]
+                        out.append((u, v, d, size[u]))
+                        for w in near[v] - done:
+                            heappush(ahead, w)
+        rows = list(zip(*out, strict=True)) if out else [[]] * 4
+        sides = [names.take(pa.array(r, pa.int64())) for r in rows[:2]]
+        return pa.Table.from_arrays([*sides, pa.array(rows[2], pa.float64()), pa.array(rows[3], pa.int64())], ["left", "right", "height", "size"])
+
+    merged = whole.select("cluster", "x", "y", "d", "n_x", "n_y").groupBy("cluster").applyInArrow(run, f"left {kind}, right {kind}, height double, size bigint")
+    return materialize(merged, "linkage-merges")
+
+
 def linkage(pairs: DataFrame, method: str = "average", absent: float | None = 1.0, weights: DataFrame | None = None) -> DataFrame:
     """``(left, right, height, size)``: one row per merge, from distances ``(a, b, d)`` of different sets.
 
@@ -61,6 +165,8 @@ def linkage(pairs: DataFrame, method: str = "average", absent: float | None = 1.
     names = table.select("x").union(table.select("y")).distinct()
     given = names.sparkSession.createDataFrame([], f"x {pairs.schema['a'].dataType.simpleString()}, n bigint") if weights is None else weights.select(F.col("name").alias("x"), F.col("n").cast("bigint").alias("n"))
     clusters = materialize(names.join(given, "x", "left").select("x", F.coalesce("n", F.lit(1)).alias("n")), "linkage-clusters")
+    if method == "single":
+        return _singly(table, clusters)
     if absent is None:
         many = clusters.count()
         if table.count() != many * (many - 1) // 2:

@@ -98,3 +98,16 @@ def test_ties_repeated_and_useless_pairs(spark):
     nodes = spark.createDataFrame([(n,) for n in "abcdef"], "name string")
     cut = {r.name: r.cluster for r in L.cut(nodes, L.linkage(pairs, "single"), 0.3).collect()}
     assert cut == {"a": "a", "b": "a", "c": "a", "d": "a", "e": "e", "f": "f"}
+
+
+def test_single_linkage_of_chains_and_ties_takes_no_rounds(spark, monkeypatch):
+    rng = random.Random(13)
+    names = [f"s{k:02d}" for k in range(26)]
+    order = rng.sample(names, len(names))
+    d = {(min(a, b), max(a, b)): 0.5 for a, b in zip(order, order[1:])}
+    d |= {pair: rng.choice([0.25, 0.5, 0.75]) for pair in itertools.combinations(names, 2) if rng.random() < 0.06}
+    pairs = spark.createDataFrame([(a, b, v) for (a, b), v in d.items()], "a string, b string, d double").repartition(5)
+    written, write = [], L.materialize
+    monkeypatch.setattr(L, "materialize", lambda df, tag: written.append(tag) or write(df, tag))
+    same(rows_of(L.linkage(pairs, "single", 1.0)), by_brute_force(names, d, "single", 1.0))
+    assert "linkage-nearest" not in written and written.count("linkage-merges") == 1
